@@ -38,12 +38,10 @@ FILLERS = ("", "n/a", "na", "none", "null", "nan", "nil", "-", "--", "?", "unkno
 
 def uuid_key(value: Column) -> Column:
     """The canonical spelling of an id, or null for fillers."""
-    text = F.lower(F.regexp_replace(value, r"^[\s ]+|[\s ]+$", ""))
-    digits = F.regexp_replace(F.regexp_replace(text, r"^urn:uuid:", ""), r"[-{}]", "")
-    spelled = F.concat_ws(
-        "-", *[F.substring(digits, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    )
-    return F.when(digits.rlike("^[0-9a-f]{32}$"), spelled).when(~text.isin(*FILLERS), text)
+    text = F.lower(F.btrim(value, F.lit(" \t\r\n\u00a0")))
+    digits = F.translate(F.replace(text, F.lit("urn:uuid:"), F.lit("")), "-{}", "")
+    spelled = F.regexp_replace(digits, "^([0-9a-f]{8})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{12})$", "$1-$2-$3-$4-$5")
+    return F.when(F.length(digits) == 32, spelled).when(~text.isin(*FILLERS), text)
 
 
 def links(snapshots: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
