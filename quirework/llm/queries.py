@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import pii
-from quirework.session import read_table
+from quirework.llm import neighbours, pii
+from quirework.session import Scratch, read_table
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
@@ -18,5 +18,22 @@ def p3_redacted(spark: SparkSession, base: str) -> DataFrame:
     return pii.redact(bodies, "content_body", read_table(spark, base, "name_list")).select("record_id", "redacted")
 
 
-QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted}
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    rows = read_table(spark, base, "index_documents").select("doc_id", "record_id", "embedding")
+    near = neighbours.nearest(rows, "doc_id", "record_id", "embedding", Scratch(spark, "neighbours"), k=5, floor=0.975)
+    return neighbours.pairs(near)
+
+
+def p4_neighbours(spark: SparkSession, base: str) -> DataFrame:
+    """The five nearest of every document, whatever their cosine."""
+    rows = read_table(spark, base, "index_documents").select("doc_id", "record_id", "embedding")
+    return neighbours.nearest(rows, "doc_id", "record_id", "embedding", Scratch(spark, "neighbours"), k=5)
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
+    "p4_found": p4_found,
+    "p4_neighbours": p4_neighbours,
+}
 SQL: dict[str, str] = {}
