@@ -1,7 +1,7 @@
 """Most similar vectors for every vector, by additive quantisation.
 
 Each vector is stored in the leaf of its best path and visits the leaves of its
-``PATHS`` best ones.  In a leaf, a table of inner products with all codebook
+``PATHS`` best cells.  In a leaf, a table of inner products with all codebook
 entries scores every stored vector by lookups and its stored norm, and the best
 ``RERANK`` of each query are compared exactly.  Candidates from all leaves of a
 query are merged by their exact cosine.
@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.llm import quantise, vectors
-from quirework.llm.vectors import DIM
 from quirework.session import Scratch
 
 K = 5
@@ -29,7 +28,7 @@ VISITS = 4096  # queries of a leaf in one task
 BLOCK = 512
 
 
-def _score(q: quantise.Quantiser, k: int, floor: float):
+def _score(q: quantise.Quantiser, k: int, floor: float, rerank: int):
     """The function that compares one leaf's queries with its stored vectors."""
     entries, offsets = np.concatenate(q.books), q.offsets
 
@@ -37,7 +36,7 @@ def _score(q: quantise.Quantiser, k: int, floor: float):
         import pyarrow as pa
 
         nid = table.column("nid").to_numpy()
-        x = np.frombuffer(b"".join(v.as_py() for v in table.column("vec")), np.float32).reshape(-1, DIM)
+        x = vectors.unpack(table.column("vec"))
         stored = np.flatnonzero(table.column("stored").to_numpy(zero_copy_only=False))
         asking = np.flatnonzero(table.column("asking").to_numpy(zero_copy_only=False))
         codes = np.frombuffer(b"".join(v.as_py() for v, s in zip(table.column("codes"), table.column("stored")) if s.as_py()), np.uint16)
@@ -46,7 +45,7 @@ def _score(q: quantise.Quantiser, k: int, floor: float):
         left, right, cos = [], [], []
         if len(stored):
             base, names = x[stored], nid[stored]
-            r = min(RERANK, len(stored))
+            r = min(rerank, len(stored))
             for at in range(0, len(asking), BLOCK):
                 rows = asking[at : at + BLOCK]
                 lookup = x[rows] @ entries.T
@@ -73,20 +72,13 @@ def _score(q: quantise.Quantiser, k: int, floor: float):
 
 def visits(points: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows ``(leaf, part, nid, vec, codes, norm, stored, asking)``: each vector in each of its leaves."""
-    rows = points.select("nid", "vec", "codes", "norm", F.posexplode("paths").alias("nth", "path")).withColumn("best", F.col("nth") == 0)
-    light = quantise.leaves(rows.select("nid", "nth", "path", "best"))
-    busy = light.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > VISITS)
-    busy = scratch.save(busy.select("leaf", F.ceil(F.col("n") / VISITS).cast("int").alias("parts")))
-    placed = quantise.leaves(rows)
-    if busy.isEmpty():
-        placed = placed.withColumn("parts", F.lit(1))
-    else:
-        placed = placed.join(busy, "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int")
-    placed = placed.withColumn("own", own).withColumn(
-        "part", F.explode(F.when(F.col("best"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own")))
-    )
-    return placed.select(
+    light = scratch.save(quantise.leaves(points, scratch))
+    busy = light.groupBy("leaf").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("parts")).where("parts > 1")
+    own = F.pmod(F.xxhash64("nid"), F.coalesce("parts", F.lit(1))).cast("int")
+    every = F.when(F.col("best"), F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).otherwise(F.array("own"))
+    placed = light.join(busy, "leaf", "left").withColumn("own", own).withColumn("part", F.explode(every))
+    kept = points.select("nid", "vec", "codes", "norm")
+    return placed.join(kept, "nid").select(
         "leaf",
         "part",
         "nid",
@@ -98,13 +90,15 @@ def visits(points: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
-def nearest(df: DataFrame, key: str, record: str, vector: str, scratch: Scratch, k: int = K, floor: float = -2.0) -> DataFrame:
+def nearest(
+    df: DataFrame, key: str, record: str, vector: str, scratch: Scratch, k: int = K, floor: float = -2.0, paths: int = quantise.PATHS, rerank: int = RERANK
+) -> DataFrame:
     """``(doc_id, neighbour, cos)``: the up to ``k`` nearest of each document with cosine ``floor`` or more."""
     units = vectors.unit(df, key, record, vector)
     q = quantise.fit(units, df.count())
     members, sets, points = vectors.classes(units, scratch)
-    points = scratch.save(quantise.encoded(points, q))
-    found = visits(points, scratch).groupBy("leaf", "part").applyInArrow(_score(q, k, floor), "a long, b long, cos double")
+    points = scratch.save(quantise.encoded(points, q, paths))
+    found = visits(points, scratch).groupBy("leaf", "part").applyInArrow(_score(q, k, floor, rerank), "a long, b long, cos double")
     found = scratch.save(found)
     # what a sees of b, b sees of a
     both = found.union(found.select("b", "a", "cos")).groupBy("a", "b").agg(F.max("cos").alias("cos"))

@@ -4,8 +4,9 @@ A vector is approximated by a sum of one entry from each of several codebooks
 over all dimensions.  The books are fitted one after the other to residuals and
 then all together by least squares; the beam search keeps the ``BEAM`` best
 partial sums at each book.  The first two books are the coarse part: their code
-pair names a cell, and a cell with too many vectors is divided by the next codes
-until its leaves are small (``leaves``).
+pair names a cell, and a cell with too many vectors is divided by the next,
+small books until its leaves are small (``leaves``).  The remaining books only
+sharpen the sum.
 
 Books are fitted to a sample of at most ``FIT_ROWS`` vectors, spread evenly by a
 hash of the id; every vector is encoded and indexed.
@@ -17,18 +18,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirework.llm import vectors
 from quirework.llm.vectors import DIM
+from quirework.session import Scratch
 
 FIT_ROWS = 8192
 PER_CELL = 128  # mean vectors per cell; the coarse books grow with the square root of the rows
-FINE_BOOKS, FINE_SIZE = 8, 128
+INDEX_BOOKS, INDEX_SIZE = 5, 8  # divide full cells
+FINE_BOOKS, FINE_SIZE = 6, 128
 BEAM = 4
-PATHS = 4  # leaves a vector visits as a query
-MAX_DEPTH = 8
-LEAF_ROWS = 1024
+PATHS = 4  # cells a vector visits as a query
+LEAF_ROWS = 2048
+DEPTH = 2 + INDEX_BOOKS
 KMEANS_ROUNDS = 8
 SEED = 11
 
@@ -105,40 +110,52 @@ def fit(units: DataFrame, rows: int) -> Quantiser:
     """Books for about ``rows`` vectors, fitted to at most ``FIT_ROWS`` of them."""
     share = max(1, rows // FIT_ROWS)
     sample = units.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("vec").limit(FIT_ROWS).collect()
-    x = np.frombuffer(b"".join(bytes(r["vec"]) for r in sample), np.float32).reshape(-1, DIM)
+    x = vectors.unpack([pa.scalar(bytes(r["vec"])) for r in sample])
     coarse = max(2, round((rows / PER_CELL) ** 0.5))
-    return Quantiser.fit(x, [coarse, coarse, *[FINE_SIZE] * FINE_BOOKS])
+    return Quantiser.fit(x, [coarse, coarse, *[INDEX_SIZE] * INDEX_BOOKS, *[FINE_SIZE] * FINE_BOOKS])
+
+
+def _ways(rest: np.ndarray, books: list[np.ndarray], turns: int) -> list[np.ndarray]:
+    """Greedy codes of ``rest``, and ``turns`` variants that take the second best at one early book."""
+    out = []
+    for turn in range(-1, turns):
+        left, codes = rest, np.zeros((len(rest), len(books)), np.int64)
+        for m, book in enumerate(books):
+            e = (book * book).sum(1) - 2 * left @ book.T
+            pick = e.argmin(1)
+            if m == turn:
+                e[np.arange(len(e)), pick] = np.inf
+                pick = e.argmin(1)
+            codes[:, m] = pick
+            left = left - book[pick]
+        out.append(codes)
+    return out
 
 
 def encoded(points: DataFrame, q: Quantiser, paths: int = PATHS) -> DataFrame:
     """``points`` with ``codes`` (all books), ``norm`` of the sum, and ``paths``.
 
-    A path is a cell followed by the best codes after it, one 16-bit number per
-    book, so its prefixes name ever smaller regions around the vector; the first
-    path belongs to the best cell.
+    A path is a cell followed by the codes of the index books, a 16-bit number
+    each, so its prefixes name ever smaller regions around the vector.  The first
+    path is where the vector is stored; further ones turn off at one index book
+    or start in the next best cells, and matter as far as cells are divided.
     """
     fine = Quantiser(q.books[2:])
+    index = fine.books[:INDEX_BOOKS]
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
-                x = np.frombuffer(b"".join(v.as_py() for v in part.column(1)), np.float32).reshape(-1, DIM)
+                x = vectors.unpack(part.column(1))
                 cells = q.cells(x, paths)
                 ways, best = [], None
                 for p in range(cells.shape[1]):
                     rest = x - q.books[0][cells[:, p, 0]] - q.books[1][cells[:, p, 1]]
                     if p == 0:
-                        tail = fine.encode(rest, 1)[0][:, 0]
-                        best = np.concatenate([cells[:, 0], tail], 1)
-                    else:  # the deeper codes of a side path only matter where its cell is divided
-                        tail = np.zeros((len(x), MAX_DEPTH - 2), np.int64)
-                        for m, book in enumerate(fine.books[: MAX_DEPTH - 2]):
-                            tail[:, m] = ((book * book).sum(1) - 2 * rest @ book.T).argmin(1)
-                            rest = rest - book[tail[:, m]]
-                    ways.append(np.concatenate([cells[:, p], tail[:, : MAX_DEPTH - 2]], 1).astype(">u2"))
+                        best = np.concatenate([cells[:, 0], fine.encode(rest, 1)[0][:, 0]], 1)
+                    for codes in _ways(rest, index, 3 if p == 0 else 1):
+                        ways.append(np.concatenate([cells[:, p], codes], 1).astype(">u2"))
                 norm = np.linalg.norm(q.decode(best), axis=1).astype(np.float32)
                 lists = [[w[i].tobytes() for w in ways] for i in range(len(x))]
                 arrays = [
@@ -154,19 +171,24 @@ def encoded(points: DataFrame, q: Quantiser, paths: int = PATHS) -> DataFrame:
     return out.withColumn("nid", F.monotonically_increasing_id()).select("nid", "doc_id", "vec", "codes", "norm", "paths")
 
 
-def leaves(paths: DataFrame, column: str = "path", best: str = "best") -> DataFrame:
-    """``paths`` with ``leaf``, the shortest prefix of at least two codes that at most ``LEAF_ROWS`` best paths share.
+def leaves(points: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(nid, leaf, best)``: the leaves of each point's paths, ``best`` for the one where it is stored.
 
-    Regions with more are counted at each depth and joined back only where there
-    are any; those that the last depth cannot divide keep it.
+    A leaf is the shortest prefix of at least two codes that at most
+    ``LEAF_ROWS`` points are stored under.  Fuller regions are counted at each
+    depth and joined back only where there are any; what the last index book
+    cannot divide stays together.
     """
-    leaf = paths.withColumn("leaf", F.substring(column, 1, 4)).withColumn("deep", F.lit(True))
-    for depth in range(2, MAX_DEPTH):
-        full = (
-            leaf.where(F.col(best) & F.col("deep")).groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > LEAF_ROWS).select("leaf", F.lit(True).alias("more"))
-        )
+    paths = points.select("nid", F.posexplode("paths").alias("nth", "path"))
+    state = scratch.save(
+        paths.select("nid", "path", (F.col("nth") == 0).alias("best"), F.substring("path", 1, 4).alias("leaf"), F.lit(True).alias("deep"))
+    )
+    for depth in range(2, DEPTH):
+        full = scratch.save(state.where("best and deep").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > LEAF_ROWS).select("leaf"))
         if full.isEmpty():
             break
-        deeper = leaf.join(full, "leaf", "left").withColumn("deep", F.col("deep") & F.coalesce("more", F.lit(False))).drop("more")
-        leaf = deeper.withColumn("leaf", F.when(F.col("deep"), F.substring(column, 1, 2 * depth + 2)).otherwise(F.col("leaf")))
-    return leaf.drop("deep")
+        joined = state.join(full.withColumn("more", F.lit(True)), "leaf", "left").withColumn("deep", F.col("deep") & F.coalesce("more", F.lit(False)))
+        leaf = F.when(F.col("deep"), F.substring("path", 1, 2 * depth + 2)).otherwise(F.col("leaf"))
+        state, old = scratch.save(joined.select("nid", "path", "best", leaf.alias("leaf"), "deep")), state
+        scratch.drop(old)
+    return state.groupBy("nid", "leaf").agg(F.max("best").alias("best"))

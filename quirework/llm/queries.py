@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quirework.llm import neighbours, pii
+from quirework.llm import clusters, neighbours, pii
 from quirework.session import Scratch, read_table
 
 
@@ -27,7 +28,21 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 def p4_neighbours(spark: SparkSession, base: str) -> DataFrame:
     """The five nearest of every document, whatever their cosine."""
     rows = read_table(spark, base, "index_documents").select("doc_id", "record_id", "embedding")
-    return neighbours.nearest(rows, "doc_id", "record_id", "embedding", Scratch(spark, "neighbours"), k=5)
+    return neighbours.nearest(rows, "doc_id", "record_id", "embedding", Scratch(spark, "neighbours"), k=5, paths=8, rerank=128)
+
+
+def _grouping(spark: SparkSession, base: str) -> clusters.Grouping:
+    rows = read_table(spark, base, "index_documents").select("doc_id", "record_id", "embedding")
+    return clusters.Grouping(rows, "doc_id", "record_id", "embedding", Scratch(spark, "clusters"))
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    return _grouping(spark, base).found()
+
+
+def p5_clusters(spark: SparkSession, base: str) -> DataFrame:
+    """Communities of the groups of five or more, with size and most typical members."""
+    return _grouping(spark, base).described().withColumn("typical", F.array_join("typical", ","))
 
 
 QUERIES = {
@@ -35,5 +50,7 @@ QUERIES = {
     "p3_redacted": p3_redacted,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
+    "p5_found": p5_found,
+    "p5_clusters": p5_clusters,
 }
 SQL: dict[str, str] = {}

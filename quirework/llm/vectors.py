@@ -2,14 +2,20 @@
 
 A vector is usable if it has ``dim`` finite values that are not all zero.  A
 document counts once, with the usable vector of its smallest record.  Documents
-with the same unit vector form a class that the later steps treat as one point,
+with the same direction form a class that the later steps treat as one point,
 so a vector repeated by a third of all rows costs one row there.
+
+Between steps a vector is kept as given, but for a power of two that brings its
+largest value to [0.5, 1), and byte plane by byte plane: embeddings stored with
+few digits then compress to half in shuffles, and no value changes.  ``unpack``
+gives unit vectors back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,28 +25,36 @@ DIM = 64
 SHOWN = 6  # members of a class that neighbour lists may need: five and the document itself
 
 
+def pack(x: np.ndarray) -> list[bytes]:
+    """Rows of finite, not all zero float32 values as bytes, plane by plane."""
+    _, exponent = np.frexp(np.abs(x).max(1, initial=0.0))
+    scaled = np.ldexp(x, -exponent[:, None]).astype("<f4") + np.float32(0.0)
+    planes = np.ascontiguousarray(scaled).view(np.uint8).reshape(len(x), -1, 4).transpose(0, 2, 1)
+    return [r.tobytes() for r in np.ascontiguousarray(planes)]
+
+
+def unpack(column: Iterable, dim: int = DIM) -> np.ndarray:
+    """Unit float32 rows of an Arrow column that ``pack`` made."""
+    raw = np.frombuffer(b"".join(v.as_py() for v in column), np.uint8).reshape(-1, 4, dim)
+    x = np.ascontiguousarray(raw.transpose(0, 2, 1)).view("<f4").reshape(-1, dim).astype(np.float64)
+    return (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32) if len(x) else x.astype(np.float32)
+
+
 def unit(df: DataFrame, key: str, record: str, vector: str, dim: int = DIM) -> DataFrame:
-    """``(doc_id, record_id, vec)`` of the usable rows; ``vec`` holds ``dim`` float32 values of length one."""
+    """``(doc_id, record_id, vec)`` of the usable rows, ``vec`` packed."""
     v = F.col(vector)
     good = v.isNotNull() & F.col(key).isNotNull() & (F.size(v) == dim)
 
     def scale(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            lists = batch.column(2)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
             ok = np.isfinite(flat).all(1)
-            flat[~ok] = 0.0
-            top = np.abs(flat).max(1, initial=0.0)
-            ok &= top > 0
+            ok &= (flat != 0).any(1)
             keep = np.flatnonzero(ok)
-            x = flat[keep] / top[keep, None]  # no square overflows or vanishes
-            x /= np.sqrt((x * x).sum(1))[:, None]
-            raw = np.ascontiguousarray(x.astype(np.float32) + np.float32(0.0))
-            vec = pa.array([r.tobytes() for r in raw], pa.binary())
             at = pa.array(keep, pa.int64())
+            vec = pa.array(pack(flat[keep]), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), vec], names=["doc_id", "record_id", "vec"])
 
     rows = df.where(good).select(F.col(key).cast("string").alias("doc_id"), F.col(record).cast("long").alias("record_id"), v.cast("array<float>"))
