@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm import clusters, neighbours, pii
+from quirework.llm import clusters, neighbours, packing, pii, reading, tokens
 from quirework.session import Scratch, read_table
 
 
@@ -45,6 +45,39 @@ def p5_clusters(spark: SparkSession, base: str) -> DataFrame:
     return _grouping(spark, base).described().withColumn("typical", F.array_join("typical", ","))
 
 
+def _sizes(spark: SparkSession, base: str) -> DataFrame:
+    return tokens.sized(read_table(spark, base, "documents").select("doc_id", "text"), "text")
+
+
+def p6_assignments(spark: SparkSession, base: str) -> DataFrame:
+    scratch = Scratch(spark, "packing")
+    return packing.pack(scratch.save(_sizes(spark, base)), read_table(spark, base, "pack_profiles"), scratch)
+
+
+def p6_report(spark: SparkSession, base: str) -> DataFrame:
+    return packing.report(p6_assignments(spark, base), read_table(spark, base, "pack_profiles"))
+
+
+def _levels(spark: SparkSession, base: str) -> DataFrame:
+    documents, labels = read_table(spark, base, "documents"), read_table(spark, base, "reading_labels")
+    return reading.levels(documents, labels, Scratch(spark, "reading"))
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return _levels(spark, base).where("band is not null").select("doc_id", "band")
+
+
+def p8_profile(spark: SparkSession, base: str) -> DataFrame:
+    """Documents and words per source and band."""
+    documents = read_table(spark, base, "documents").select(F.col("doc_id").cast("long"), "source")
+    return (
+        _levels(spark, base)
+        .join(documents, "doc_id")
+        .groupBy("source", "band")
+        .agg(F.count("*").alias("documents"), F.sum("words").alias("words"), F.round(F.avg("posterior"), 4).alias("posterior"))
+    )
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
@@ -52,5 +85,9 @@ QUERIES = {
     "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
+    "p6_assignments": p6_assignments,
+    "p6_report": p6_report,
+    "p8_found": p8_found,
+    "p8_profile": p8_profile,
 }
 SQL: dict[str, str] = {}
