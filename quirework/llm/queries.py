@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm import clusters, neighbours, packing, pii, reading, tokens
+from quirework.llm import clusters, mixing, neighbours, packing, pii, reading, tokens
 from quirework.session import Scratch, read_table
 
 
@@ -58,6 +58,22 @@ def p6_report(spark: SparkSession, base: str) -> DataFrame:
     return packing.report(p6_assignments(spark, base), read_table(spark, base, "pack_profiles"))
 
 
+def _mixed(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    scratch = Scratch(spark, "mixing")
+    documents = read_table(spark, base, "documents").select("doc_id", "source", "text")
+    sized = scratch.save(tokens.sized(documents, "text"))
+    targets = read_table(spark, base, "mix_targets")
+    return mixing.mix(sized, targets, scratch), sized, targets
+
+
+def p7_mix(spark: SparkSession, base: str) -> DataFrame:
+    return _mixed(spark, base)[0]
+
+
+def p7_shares(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.shares(*_mixed(spark, base))
+
+
 def _levels(spark: SparkSession, base: str) -> DataFrame:
     documents, labels = read_table(spark, base, "documents"), read_table(spark, base, "reading_labels")
     return reading.levels(documents, labels, Scratch(spark, "reading"))
@@ -87,6 +103,8 @@ QUERIES = {
     "p5_clusters": p5_clusters,
     "p6_assignments": p6_assignments,
     "p6_report": p6_report,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_profile": p8_profile,
 }
