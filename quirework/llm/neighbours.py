@@ -23,7 +23,7 @@ from quirework.llm import quantise, vectors
 from quirework.session import Scratch
 
 K = 5
-RERANK = 16
+RERANK = 64
 VISITS = 4096  # queries of a leaf in one task
 BLOCK = 512
 
@@ -72,7 +72,7 @@ def _score(q: quantise.Quantiser, k: int, floor: float, rerank: int):
 
 def visits(points: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows ``(leaf, part, nid, vec, codes, norm, stored, asking)``: each vector in each of its leaves."""
-    light = scratch.save(quantise.leaves(points, scratch))
+    light = scratch.save(quantise.leaves(points, quantise.full_regions(points, scratch)))
     busy = light.groupBy("leaf").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("parts")).where("parts > 1")
     own = F.pmod(F.xxhash64("nid"), F.coalesce("parts", F.lit(1))).cast("int")
     every = F.when(F.col("best"), F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).otherwise(F.array("own"))

@@ -132,13 +132,14 @@ def _ways(rest: np.ndarray, books: list[np.ndarray], turns: int) -> list[np.ndar
     return out
 
 
-def encoded(points: DataFrame, q: Quantiser, paths: int = PATHS) -> DataFrame:
+def encoded(points: DataFrame, q: Quantiser, paths: int = PATHS, sums: bool = True) -> DataFrame:
     """``points`` with ``codes`` (all books), ``norm`` of the sum, and ``paths``.
 
     A path is a cell followed by the codes of the index books, a 16-bit number
     each, so its prefixes name ever smaller regions around the vector.  The first
     path is where the vector is stored; further ones turn off at one index book
     or start in the next best cells, and matter as far as cells are divided.
+    Without ``sums`` only the index books are searched, and ``codes`` ends there.
     """
     fine = Quantiser(q.books[2:])
     index = fine.books[:INDEX_BOOKS]
@@ -152,11 +153,12 @@ def encoded(points: DataFrame, q: Quantiser, paths: int = PATHS) -> DataFrame:
                 ways, best = [], None
                 for p in range(cells.shape[1]):
                     rest = x - q.books[0][cells[:, p, 0]] - q.books[1][cells[:, p, 1]]
+                    turns = _ways(rest, index, 3 if p == 0 else 1)
                     if p == 0:
-                        best = np.concatenate([cells[:, 0], fine.encode(rest, 1)[0][:, 0]], 1)
-                    for codes in _ways(rest, index, 3 if p == 0 else 1):
+                        best = np.concatenate([cells[:, 0], fine.encode(rest, 1)[0][:, 0] if sums else turns[0]], 1)
+                    for codes in turns:
                         ways.append(np.concatenate([cells[:, p], codes], 1).astype(">u2"))
-                norm = np.linalg.norm(q.decode(best), axis=1).astype(np.float32)
+                norm = (np.linalg.norm(q.decode(best), axis=1) if sums else np.zeros(len(x))).astype(np.float32)
                 lists = [[w[i].tobytes() for w in ways] for i in range(len(x))]
                 arrays = [
                     part.column(0),
@@ -171,24 +173,30 @@ def encoded(points: DataFrame, q: Quantiser, paths: int = PATHS) -> DataFrame:
     return out.withColumn("nid", F.monotonically_increasing_id()).select("nid", "doc_id", "vec", "codes", "norm", "paths")
 
 
-def leaves(points: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(nid, leaf, best)``: the leaves of each point's paths, ``best`` for the one where it is stored.
-
-    A leaf is the shortest prefix of at least two codes that at most
-    ``LEAF_ROWS`` points are stored under.  Fuller regions are counted at each
-    depth and joined back only where there are any; what the last index book
-    cannot divide stays together.
-    """
-    paths = points.select("nid", F.posexplode("paths").alias("nth", "path"))
-    state = scratch.save(
-        paths.select("nid", "path", (F.col("nth") == 0).alias("best"), F.substring("path", 1, 4).alias("leaf"), F.lit(True).alias("deep"))
-    )
+def full_regions(points: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Per depth, from two codes on, the prefixes under which more than ``LEAF_ROWS`` points are stored."""
+    state, out = points.select(F.element_at("paths", 1).alias("path")), []
     for depth in range(2, DEPTH):
-        full = scratch.save(state.where("best and deep").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > LEAF_ROWS).select("leaf"))
+        state = state.withColumn("leaf", F.substring("path", 1, 2 * depth))
+        full = scratch.save(state.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > LEAF_ROWS).select("leaf"))
         if full.isEmpty():
             break
-        joined = state.join(full.withColumn("more", F.lit(True)), "leaf", "left").withColumn("deep", F.col("deep") & F.coalesce("more", F.lit(False)))
-        leaf = F.when(F.col("deep"), F.substring("path", 1, 2 * depth + 2)).otherwise(F.col("leaf"))
-        state, old = scratch.save(joined.select("nid", "path", "best", leaf.alias("leaf"), "deep")), state
-        scratch.drop(old)
+        out.append(full)
+        state = state.join(full, "leaf", "left_semi")
+    return out
+
+
+def leaves(points: DataFrame, full: list[DataFrame], first: int = 0, last: int = 1000) -> DataFrame:
+    """``(nid, leaf, best)``: the leaves of a point's paths from ``first`` to before ``last``.
+
+    A leaf is the shortest prefix of at least two codes that is not full; what
+    the last index book cannot divide stays together.  ``best`` marks the leaf
+    where the point is stored.  Depths without full regions cost nothing.
+    """
+    paths = points.select("nid", F.posexplode("paths").alias("nth", "path")).where((F.col("nth") >= first) & (F.col("nth") < last))
+    state = paths.select("nid", "path", (F.col("nth") == 0).alias("best"), F.substring("path", 1, 4).alias("leaf"))
+    for step, regions in enumerate(full):
+        state = state.join(regions.withColumn("more", F.lit(True)), "leaf", "left")
+        deeper = F.when(F.col("more"), F.substring("path", 1, 2 * (step + 3))).otherwise(F.col("leaf"))
+        state = state.select("nid", "path", "best", deeper.alias("leaf"))
     return state.groupBy("nid", "leaf").agg(F.max("best").alias("best"))
