@@ -51,7 +51,11 @@ def patterns(histogram: dict[int, int], room: int) -> list[tuple[tuple[int, ...]
             left = -largest[0] if largest else -1
             if left < length:
                 if not moved:
-                    put((length,), rest, room - length, least)
+                    each = room // length  # a new pack is the shortest until it takes no more
+                    if rest >= each:
+                        put((length,) * each, rest // each, room - each * length, least)
+                    if rest % each:
+                        put((length,) * (rest % each), 1, room - rest % each * length, least)
                     break
                 for pack in moved:
                     put(*pack, least)

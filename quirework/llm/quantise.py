@@ -106,12 +106,12 @@ class Quantiser:
         return sum(book[codes[:, m]] for m, book in enumerate(self.books))
 
 
-def fit(units: DataFrame, rows: int) -> Quantiser:
+def fit(units: DataFrame, rows: int, per_cell: int = PER_CELL) -> Quantiser:
     """Books for about ``rows`` vectors, fitted to at most ``FIT_ROWS`` of them."""
     share = max(1, rows // FIT_ROWS)
     sample = units.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("vec").limit(FIT_ROWS).collect()
     x = vectors.unpack([pa.scalar(bytes(r["vec"])) for r in sample])
-    coarse = max(2, round((rows / PER_CELL) ** 0.5))
+    coarse = max(2, round((rows / per_cell) ** 0.5))
     return Quantiser.fit(x, [coarse, coarse, *[INDEX_SIZE] * INDEX_BOOKS, *[FINE_SIZE] * FINE_BOOKS])
 
 

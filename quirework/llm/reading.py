@@ -104,7 +104,7 @@ def labelled(documents: DataFrame, labels: DataFrame, scratch: Scratch) -> DataF
     if have["n"] >= MIN_LABELLED and all(have[f"n{b}"] for b in range(1, LEVELS + 1)):
         return known
     sample = texts.orderBy(F.xxhash64("doc_id")).limit(8 * MIN_LABELLED)
-    seeded = F.udf(formula, "int")(F.col("text"))
+    seeded = F.udf(lambda t: formula(t), "int")(F.col("text"))
     seed = sample.withColumn("level", seeded).where("level > 0")
     said = [F.when(F.col("level") == b, OWN).when(F.abs(F.col("level") - b) == 1, NEXT).otherwise(OTHER).alias(f"p{b}") for b in range(1, LEVELS + 1)]
     return scratch.save(known.unionByName(seed.join(known.select("doc_id"), "doc_id", "left_anti").select("doc_id", "text", half, *said)))
@@ -189,6 +189,8 @@ def fit(documents: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[Mode
             yield pa.RecordBatch.from_arrays([pa.array(list(f), pa.list_(pa.float64())), pa.array(list(p), pa.list_(pa.float64()))], names=["f", "p"])
 
     made = rows.select("doc_id", "text", "half", "p1", "p2", "p3", "p4").mapInArrow(score, "f array<double>, p array<double>").collect()
+    if len(made) < MIN_LABELLED:  # too few to weigh the features: the likelihoods alone decide
+        return Model.of(names, counts.sum(0)), np.eye(2 * LEVELS + 1, LEVELS)
     x, y = np.array([r["f"] for r in made]), np.array([r["p"] for r in made])
     hard = np.eye(LEVELS)[y.argmax(1)]
     return Model.of(names, counts.sum(0)), _softmax(x, hard)

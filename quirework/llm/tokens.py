@@ -52,7 +52,7 @@ def count(text: str | None, path: str = TOKENIZER_FILE) -> int:
 
 def sized(df: DataFrame, text: str, out: str = "tokens", path: str = TOKENIZER_FILE, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all but the text by default) with the size of ``text``."""
-    kept = keep if keep is not None else [c for c in df.columns if c != text]
+    kept = keep if keep is not None else [c for c in df.columns if c not in (text, out)]
     names = [*kept, out]
 
     def run(batches: Iterator) -> Iterator:
