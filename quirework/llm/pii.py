@@ -267,8 +267,10 @@ def spans(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
 
 def redact(df: DataFrame, text: str, names: DataFrame, out: str = "redacted") -> DataFrame:
     """``df`` with ``out``: the text with a placeholder in place of each span."""
+    if out == text:
+        raise ValueError("the result needs a name of its own")
     known = listed(names)
-
+    df = df.drop(out)
     names_out = [*df.columns, out]
 
     def clean(batches: Iterator) -> Iterator:
