@@ -41,9 +41,11 @@ def bm25(df: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
     totals from one aggregate.
     """
     wanted = sorted({q.lower() for q in query} - set(STOP_WORDS))
+    if not wanted:
+        return df.select(key, F.lit(0.0).alias("bm25")).where(F.lit(False))
     body = df.select(key, terms(F.col(text)).alias("t"))
     sizes = body.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"))
-    hits = body.select(key, F.size("t").alias("length"), *[F.size(_only(w)).alias(f"tf{i}") for i, w in enumerate(wanted)]).where(" or ".join(f"tf{i} > 0" for i in range(len(wanted))) or "false")
+    hits = body.select(key, F.size("t").alias("length"), *[F.size(_only(w)).alias(f"tf{i}") for i, w in enumerate(wanted)]).where(" or ".join(f"tf{i} > 0" for i in range(len(wanted))))
     rows = hits.select(key, "length", F.explode(F.array(*[F.struct(F.lit(w).alias("term"), F.col(f"tf{i}").alias("tf")) for i, w in enumerate(wanted)])).alias("p"))
     rows = rows.select(key, "length", "p.term", "p.tf").where("tf > 0")
     df_ = rows.groupBy("term").agg(F.count("*").alias("df"))

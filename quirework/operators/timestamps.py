@@ -22,7 +22,7 @@ date alone is midnight.  A wall-clock time that occurs twice is the earlier
 instant, one that is skipped is read with the offset before the change.  A row
 without source, or of a source without settings, is read as UTC, month first.
 Very long texts match no notation.  Rows may repeat; an empty table gives an
-empty result.  The input's columns are kept except for those the operator adds.
+empty result.  The input's columns are kept; those named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ PRIOR_COUNT = 20.0
 AMBIGUOUS_BELOW = 0.9
 EM_ROUNDS = 25
 MAX_LENGTH = 80
+ADDED = ("utc_micros", "status", "format", "posterior")
 
 # Month names and their usual short forms in English, German and French.
 MONTHS = {
@@ -231,9 +232,10 @@ def normalise(df: DataFrame, value: str, source: str, settings: DataFrame, decla
     """
     names = zone_names(df)
     rules = settings.groupBy(F.col("source").alias("_source")).agg(F.max("default_zone").alias("_zone"), F.max("day_first").alias("_day_first"))
-    kept = df.columns
-    parsed = parse(df.withColumn("_source", F.coalesce(F.col(source), F.lit(""))), value)
-    parsed = parsed.join(rules, "_source", "left")
+    # the caller's columns travel as one, so none of their names can meet those used here
+    kept = [c for c in df.columns if c not in ADDED]
+    packed = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), F.coalesce(F.col(source), F.lit("")).alias("_source"), F.col(value).alias("_value"))
+    parsed = parse(packed, "_value").join(rules, "_source", "left")
     bound = F.when(F.coalesce("_day_first", F.lit(False)), F.lit("dmy")).otherwise("mdy")
     usable = F.filter("_formats", lambda f: (~f.isin("dmy", "mdy")) | (f == bound)) if declared == "binding" else F.col("_formats")
     parsed = parsed.withColumn("_candidates", F.concat_ws(",", usable))
@@ -265,4 +267,4 @@ def normalise(df: DataFrame, value: str, source: str, settings: DataFrame, decla
     )
     rows = rows.withColumn("utc_micros", F.when(F.col("format").isNotNull(), instant).cast("long"))
     status = F.when(F.col("utc_micros").isNull(), "unreadable").when(F.col("posterior") < AMBIGUOUS_BELOW, "ambiguous").otherwise("ok")
-    return rows.withColumn("status", status).select(*kept, "utc_micros", "status", "format", "posterior")
+    return rows.withColumn("status", status).select(*[F.col(f"_row.{c}").alias(c) for c in kept], *ADDED)
