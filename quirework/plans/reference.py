@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.functions import text, vector
-from quirework.operators import documents, references, search, steps
+from quirework.operators import chunking, documents, redaction, references, search, steps
+from quirework.plans import pipeline
 from quirework.session import read_table
+from quirework.sources.files import log_status
+from quirework.streaming import streams
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -611,3 +614,76 @@ def topic_kmeans(spark: SparkSession, base: str) -> DataFrame:
 def path_ids(spark: SparkSession, base: str) -> DataFrame:
     rows = T(spark, base, "document_metadata").where("path is not null").select(F.col("path").alias("file_path")).distinct()
     return rows.select("file_path", text.uuid5("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.col("file_path")).alias("id"))
+
+
+@query()
+def pii_redacted(spark: SparkSession, base: str) -> DataFrame:
+    """Cleaned bodies with pattern matches replaced by their type."""
+    return redaction.redact(T(spark, base, "index_documents"), "record_id", "content_body")
+
+
+@query()
+def block_chunks(spark: SparkSession, base: str) -> DataFrame:
+    return chunking.chunks(T(spark, base, "documents"), "doc_id", "text", "block")
+
+
+@query()
+def paragraph_chunks(spark: SparkSession, base: str) -> DataFrame:
+    return chunking.chunks(T(spark, base, "documents"), "doc_id", "text", "paragraph")
+
+
+@query()
+def document_pipeline(spark: SparkSession, base: str) -> DataFrame:
+    """All pipeline steps over the index documents."""
+    rows = T(spark, base, "index_documents").select(F.col("record_id").alias("id"), F.col("content_body").alias("body"))
+    return pipeline.run(rows).select("id", "pii_matches", "summary", "cluster")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'syntax' WHEN value IS NULL THEN 'missing:value' ELSE 'ok' END AS status FROM events""")
+def log_validation(spark: SparkSession, base: str) -> DataFrame:
+    """Events as JSON log lines, every fiftieth cut short, through the line checks."""
+    rows = T(spark, base, "events")
+    line = F.to_json(F.struct("event_id", "event_type", "value"))
+    cut = F.when(F.col("event_id") % 50 == 0, F.left(line, F.length(line) - 3)).otherwise(line)
+    status = log_status(cut, {"event_id": "number", "event_type": "string", "value": "number"})
+    return rows.select("event_id", status.alias("status"))
+
+
+@query("""SELECT doc_id, array_to_string(list_sort([f for f in ['author', 'language', 'path', 'title'] if NOT list_contains(have, f)]), ',') AS missing, len(have) / 4.0::DOUBLE AS completeness FROM
+ (SELECT doc_id, [f for f in [CASE WHEN max(author) IS NOT NULL THEN 'author' END, CASE WHEN max(language) IS NOT NULL THEN 'language' END, CASE WHEN max(path) IS NOT NULL THEN 'path' END, CASE WHEN max(title) IS NOT NULL THEN 'title' END] if f IS NOT NULL] AS have
+ FROM document_metadata WHERE doc_id IS NOT NULL GROUP BY doc_id)""")
+def required_fields(spark: SparkSession, base: str) -> DataFrame:
+    """Required fields that no record of a document fills, and the filled share."""
+    names = ("author", "language", "path", "title")
+    merged = T(spark, base, "document_metadata").where("doc_id is not null").groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names])
+    have = F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in names]))
+    wanted = F.array(*[F.lit(n) for n in names])
+    return merged.select(
+        "doc_id", F.array_join(F.array_sort(F.array_except(wanted, have)), ",").alias("missing"), (F.size(F.array_intersect(wanted, have)) / len(names)).alias("completeness")
+    )
+
+
+@query(f"""WITH {_METRICS} SELECT source, CASE WHEN failed::DOUBLE / documents >= 0.1 THEN 'critical' ELSE 'warning' END AS severity,
+ CASE WHEN failed::DOUBLE / documents >= 0.1 THEN 'email,webhook' ELSE 'webhook' END AS channels FROM m WHERE failed::DOUBLE / documents >= 0.05""")
+def threshold_alerts(spark: SparkSession, base: str) -> DataFrame:
+    metrics = steps.pipeline_metrics(T(spark, base, "processing_steps"), "source")
+    out = streams.threshold_alerts(metrics, F.col("failed") / F.col("documents"), steps.WARNING_SHARE, steps.CRITICAL_SHARE)
+    return out.select("source", "severity", F.array_join("channels", ",").alias("channels"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+ s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM g)
+ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n FROM s GROUP BY user_id, nth""")
+def user_sessions(spark: SparkSession, base: str) -> DataFrame:
+    """Runs of a user's events with gaps of at most half an hour (an extension)."""
+    rows = T(spark, base, "events").where("ts is not null and user_id is not null")
+    out = rows.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("first"))
+    return out.select("user_id", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("started"), "n")
+
+
+@query("""SELECT step_name, 100.0 * count(*) FILTER (status IN ('success', 'completed')) / count(*)::DOUBLE AS success_percent, count(*) AS attempts, count(DISTINCT doc_id) AS documents FROM
+ (SELECT DISTINCT doc_id, seq, step_name, status, ts, source, duration_ms FROM processing_steps) GROUP BY step_name""")
+def retry_summary(spark: SparkSession, base: str) -> DataFrame:
+    rows = steps.facts(T(spark, base, "processing_steps"))
+    share = 100 * F.count_if(F.col("status").isin(*steps.DONE)) / F.count("*")
+    return rows.groupBy("step_name").agg(share.alias("success_percent"), F.count("*").alias("attempts"), F.count_distinct("doc_id").alias("documents"))
