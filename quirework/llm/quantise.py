@@ -132,14 +132,14 @@ def _ways(rest: np.ndarray, books: list[np.ndarray], turns: int) -> list[np.ndar
     return out
 
 
-def encoded(points: DataFrame, q: Quantiser, paths: int = PATHS, sums: bool = True) -> DataFrame:
+def encoded(points: DataFrame, q: Quantiser, paths: int = PATHS, sums: bool = True, turning: int = PATHS) -> DataFrame:
     """``points`` with ``codes`` (all books), ``norm`` of the sum, and ``paths``.
 
     A path is a cell followed by the codes of the index books, a 16-bit number
     each, so its prefixes name ever smaller regions around the vector.  The first
     path is where the vector is stored; further ones turn off at one index book
     or start in the next best cells, and matter as far as cells are divided.
-    Without ``sums`` only the index books are searched, and ``codes`` ends there.
+    Cells from ``turning`` on have no variants.  Without ``sums`` only the index books are searched, and ``codes`` ends there.
     """
     fine = Quantiser(q.books[2:])
     index = fine.books[:INDEX_BOOKS]
@@ -153,7 +153,7 @@ def encoded(points: DataFrame, q: Quantiser, paths: int = PATHS, sums: bool = Tr
                 ways, best = [], None
                 for p in range(cells.shape[1]):
                     rest = x - q.books[0][cells[:, p, 0]] - q.books[1][cells[:, p, 1]]
-                    turns = _ways(rest, index, 3 if p == 0 else 1)
+                    turns = _ways(rest, index, 3 if p == 0 else 1 if p < turning else 0)
                     if p == 0:
                         best = np.concatenate([cells[:, 0], fine.encode(rest, 1)[0][:, 0] if sums else turns[0]], 1)
                     for codes in turns:
