@@ -97,6 +97,7 @@ def nearest(
     units = vectors.unit(df, key, record, vector)
     q = quantise.fit(units, df.count())
     members, sets, points = vectors.classes(units, scratch)
+    sets = scratch.save(vectors.shown(members, sets))
     points = scratch.save(quantise.encoded(points, q, paths, turning=paths))
     found = visits(points, scratch).groupBy("leaf", "part").applyInArrow(_score(q, k, floor, rerank), "a long, b long, cos double")
     found = scratch.save(found)

@@ -64,18 +64,25 @@ def unit(df: DataFrame, key: str, record: str, vector: str, dim: int = DIM) -> D
 def classes(units: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members, classes and points.
 
-    ``members(doc_id, h, h2)`` has a row per document, ``sets(h, h2, rep, n, shown)``
-    a row per class with its smallest documents, and ``points(doc_id, vec)`` one
+    ``members(doc_id, h, h2)`` has a row per document, ``sets(h, h2, rep, n)`` a row
+    per class with its smallest document, and ``points(doc_id, vec)`` one
     vector per class under its smallest document's name.  Only hashes are
     shuffled to form them; each vector moves once.
     """
     hashed = units.select("doc_id", "record_id", F.xxhash64("vec").alias("h"), F.hash("vec").alias("h2"))
     docs = hashed.groupBy("doc_id").agg(F.min(F.struct("record_id", "h", "h2")).alias("r"))
     members = scratch.save(docs.select("doc_id", "r.record_id", "r.h", "r.h2"))
-    first = Window.partitionBy("h", "h2").orderBy("doc_id")
-    shown = members.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SHOWN)
-    shown = shown.groupBy("h", "h2").agg(F.sort_array(F.collect_list("doc_id")).alias("shown"), F.min(F.struct("doc_id", "record_id")).alias("r"))
-    counted = members.groupBy("h", "h2").agg(F.count("*").alias("n"))
-    sets = scratch.save(shown.join(counted, ["h", "h2"]).select("h", "h2", F.col("r.doc_id").alias("rep"), F.col("r.record_id").alias("record_id"), "n", "shown"))
+    rep = F.min(F.struct("doc_id", "record_id"))
+    grouped = members.groupBy("h", "h2").agg(rep.alias("r"), F.count("*").alias("n"))
+    sets = scratch.save(grouped.select("h", "h2", F.col("r.doc_id").alias("rep"), F.col("r.record_id").alias("record_id"), "n"))
     points = units.join(sets.select(F.col("rep").alias("doc_id"), "record_id"), ["doc_id", "record_id"], "left_semi").select("doc_id", "vec")
     return members.drop("record_id"), sets.drop("record_id"), points
+
+
+def shown(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``sets`` with ``shown``, the ``SHOWN`` smallest documents of each class; classes of one need no ranking."""
+    several = members.join(sets.where("n > 1").select("h", "h2"), ["h", "h2"], "left_semi")
+    first = Window.partitionBy("h", "h2").orderBy("doc_id")
+    ranked = several.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SHOWN)
+    lists = ranked.groupBy("h", "h2").agg(F.sort_array(F.collect_list("doc_id")).alias("list"))
+    return sets.join(lists, ["h", "h2"], "left").select("h", "h2", "rep", "n", F.coalesce("list", F.array("rep")).alias("shown"))
