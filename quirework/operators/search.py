@@ -126,7 +126,7 @@ def nearest_to(queries: DataFrame, base: DataFrame, key: str, embedding: str, k:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, ok.sum(1))), pa.array(bi[order][ok]), pa.array(top[ok])], names=["src", "dst", "similarity"])
 
     # the smaller side's blocks meet the other's: rows here are whole blocks
-    met = blocks(base, "bi", "bv").repartition(32).crossJoin(blocks(queries, "qi", "qv")).select("qi", "qv", "bi", "bv")
+    met = blocks(base, "bi", "bv").crossJoin(blocks(queries, "qi", "qv")).select("qi", "qv", "bi", "bv")
     found = met.mapInArrow(compare, "src long, dst long, similarity double")
     order = Window.partitionBy("src").orderBy(F.round("similarity", 12).desc(), "dst")
     return found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).drop("nth")

@@ -190,19 +190,38 @@ def reliability(documents: DataFrame, steps: DataFrame, source: str, required: l
     return both.select("source", *[F.round(c, 6).alias(c) for c in ("completeness", "quality", "authority", "frequency")], F.round(score, 5).alias("score"))
 
 
-def as_of(events: DataFrame, changes: DataFrame, key: str, ts: str) -> DataFrame:
+def carried(df: DataFrame, key: str, bucket: Column, order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the last non-null ``value`` of the key up to and including each row and its equals in ``order``.
+
+    ``bucket`` rises with the order.  Rows are sorted within (key, bucket) only,
+    and what earlier buckets leave comes from one row per bucket, so the rows of
+    a key that holds a third of the table spread over as many tasks as it has
+    buckets.
+    """
+    rows = df.withColumn("__bucket", bucket)
+    inside = Window.partitionBy(key, "__bucket").orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    given = F.when(F.col(value).isNotNull(), F.struct(*order))
+    ends = rows.groupBy(key, "__bucket").agg(F.max_by(value, given).alias("__end"))
+    past = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(key, "__bucket", F.last("__end", ignorenulls=True).over(past).alias("__before"))
+    out_rows = rows.withColumn("__inside", F.last(value, ignorenulls=True).over(inside)).join(before, [key, "__bucket"])
+    return out_rows.withColumn(out, F.coalesce("__inside", "__before")).drop("__bucket", "__inside", "__before")
+
+
+def as_of(events: DataFrame, changes: DataFrame, key: str, ts: str, bucket: int = 30 * 86400 * 1000000) -> DataFrame:
     """Each event with the last change of its key at or before it: ``(key, event columns, change)``.
 
     Both are put into one ordered run per key and the last change is carried
     forward, so no event meets all changes of its key.  ``changes`` has ``key``,
-    ``ts`` and ``change``.
+    ``ts`` (a number) and ``change``; rows of a key are sorted per ``bucket`` of it.
+    Null keys have no change.
     """
     cols = [c for c in events.columns if c not in (key, ts)]
     left = events.select(key, ts, *cols, F.lit(None).cast(changes.schema["change"].dataType).alias("change"), F.lit(1).alias("kind"))
     right = changes.select(key, ts, *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in cols], "change", F.lit(0).alias("kind"))
-    w = Window.partitionBy(key).orderBy(ts, "kind", "change").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = left.unionByName(right).withColumn("change", F.last("change", ignorenulls=True).over(w))
-    return carried.where("kind = 1").drop("kind")
+    both = left.unionByName(right).where(F.col(key).isNotNull())
+    out = carried(both, key, F.floor(F.col(ts) / bucket), [ts, "kind", "change"], "change", "last")
+    return out.where("kind = 1").select(key, ts, *cols, F.col("last").alias("change"))
 
 
 def cooled(alerts: DataFrame, key: str, seconds: str, order: str, cooldown: int = COOLDOWN) -> DataFrame:
@@ -211,12 +230,19 @@ def cooled(alerts: DataFrame, key: str, seconds: str, order: str, cooldown: int
     Suppressed alerts do not extend the cooldown.  A gap of ``cooldown`` or more
     before an alert means that it is sent whatever came before, so the run of a
     key is first cut at such gaps; the pieces, not the keys, are folded in Python.
+    Null keys and times are no alerts.
     """
-    w = Window.partitionBy(key).orderBy(seconds, order)
-    gap = F.col(seconds) - F.lag(seconds).over(w)
-    cut = alerts.withColumn("__cut", F.when(gap.isNull() | (gap >= cooldown), 1).otherwise(0))
-    pieces = cut.withColumn("__piece", F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__cut")
-    # the first of a piece is sent, whatever the pieces before
+    rows = alerts.where(F.col(key).isNotNull() & F.col(seconds).isNotNull())
+    bucket = F.floor(F.col(seconds) / (64 * cooldown))
+    inside = Window.partitionBy(key, "__bucket").orderBy(seconds, order)
+    rows = rows.withColumn("__bucket", bucket)
+    ends = rows.groupBy(key, "__bucket").agg(F.max(seconds).alias("__end"))
+    past = ends.select(key, "__bucket", F.lag("__end").over(Window.partitionBy(key).orderBy("__bucket")).alias("__past"))
+    rows = rows.withColumn("__lag", F.lag(seconds).over(inside)).join(past, [key, "__bucket"])
+    gap = F.col(seconds) - F.coalesce("__lag", "__past")
+    cut = rows.withColumn("__cut", F.when(gap.isNull() | (gap >= cooldown), F.col(seconds))).drop("__bucket", "__lag", "__past")
+    # a piece is named by the time of its first alert
+    pieces = carried(cut, key, bucket, [seconds], "__cut", "__piece").drop("__cut")
     schema = alerts.schema
 
     def fold(batches: Iterator) -> Iterator:
