@@ -62,7 +62,7 @@ def latest_version(spark: SparkSession, base: str) -> DataFrame:
  ELSE len(string_split({CLEAN.format('content_body')}, ' ')) END AS words FROM index_documents""")
 def clean_words(spark: SparkSession, base: str) -> DataFrame:
     body = F.col("content_body")
-    return T(spark, base, "index_documents").select("record_id", F.md5(text.clean(body)).alias("cleaned"), text.word_count(body).alias("words"))
+    return T(spark, base, "index_documents").select("record_id", F.md5(text.clean(body)).alias("cleaned"), text.word_count(body).cast("long").alias("words"))
 
 
 @query("""SELECT record_id, substring(content_body, 1, 8192) AS body FROM index_documents WHERE length(trim(content_body, E' \\t\\r\\n')) > 0""")
@@ -76,7 +76,7 @@ def length_gate(spark: SparkSession, base: str) -> DataFrame:
  (SELECT doc_id, text, unnest(generate_series(0, CAST(ceil(length(text) / 462.0) AS BIGINT) - 1)) AS n FROM documents WHERE length(text) > 0))""")
 def chunk_chars(spark: SparkSession, base: str) -> DataFrame:
     cut = text.chunks_by_chars(T(spark, base, "documents"), "doc_id", "text", 512, 50)
-    return cut.select("doc_id", "pos", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_hash"))
+    return cut.select("doc_id", "pos", F.length("chunk").cast("long").alias("n_chars"), F.md5("chunk").alias("chunk_hash"))
 
 
 @query(f"""SELECT doc_id, CAST(n AS INTEGER) AS pos, md5(array_to_string(w[n * 80 + 1 : n * 80 + 100], ' ')) AS chunk_hash FROM (
@@ -385,6 +385,16 @@ SQL["p1_circles"] = f"""WITH RECURSIVE {_TREE}, ring AS (SELECT doc AS id, min(a
   SELECT s.circle_id, t.child, s.step + 1 FROM step s JOIN tree t ON t.parent = s.doc_id JOIN ring r ON r.id = t.child WHERE t.child <> s.circle_id)
  SELECT circle_id, doc_id, CAST(step AS INTEGER) AS step FROM step"""
 
+_CUT = f"""{_TREE}, ring AS (SELECT doc AS id, min(anc) AS circle_id FROM reach WHERE doc IN (SELECT doc FROM reach WHERE doc = anc)
+   AND anc IN (SELECT doc FROM reach WHERE doc = anc) GROUP BY doc),
+ cut AS (SELECT child, parent FROM tree WHERE child NOT IN (SELECT circle_id FROM ring)),
+ below AS (SELECT parent AS anc, child AS d, 1 AS distance FROM cut UNION ALL SELECT c.parent, b.d, b.distance + 1 FROM below b JOIN cut c ON c.child = b.anc)"""
+SQL["p1_descendants"] = f"WITH RECURSIVE {_CUT} SELECT anc AS ancestor_id, d AS descendant_id, CAST(distance AS INTEGER) AS distance FROM below"
+SQL["p1_paths"] = f"""WITH RECURSIVE {_CUT}, up AS (SELECT d, string_agg(anc, '/' ORDER BY distance DESC) AS way, max(distance) AS depth FROM below GROUP BY d),
+ down AS (SELECT anc, count(*) AS n FROM below GROUP BY anc),
+ p AS (SELECT k.id AS doc_id, CASE WHEN way IS NULL THEN k.id ELSE way || '/' || k.id END AS path, coalesce(depth, 0) AS depth, coalesce(n, 0) AS n FROM known k LEFT JOIN up ON up.d = k.id LEFT JOIN down ON down.anc = k.id)
+ SELECT doc_id, split_part(path, '/', 1) AS root_id, CAST(CASE WHEN split_part(path, '/', 1) IN (SELECT circle_id FROM ring) THEN -1 ELSE depth END AS INTEGER) AS depth, path, n AS n_descendants FROM p"""
+
 
 @query("""WITH p AS (SELECT DISTINCT doc_id, seq FROM processing_steps), n AS (SELECT doc_id, seq, lead(seq) OVER (PARTITION BY doc_id ORDER BY seq) AS nxt FROM p)
  SELECT doc_id, seq AS src, nxt AS dst, 'next' AS ref_type FROM n WHERE nxt IS NOT NULL UNION ALL SELECT doc_id, nxt, seq, 'previous' FROM n WHERE nxt IS NOT NULL""")
