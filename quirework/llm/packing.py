@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,18 +75,23 @@ def patterns(histogram: dict[int, int], room: int) -> list[tuple[tuple[int, ...]
     return sorted(done, key=lambda p: (-len(p[0]), p[0], p[1]))
 
 
-def places(histogram: dict[int, int], capacity: int, separator: int) -> list[tuple[int, int, int, int, int]]:
-    """Rows ``(length, from, to, first container, offset)``: which ranks of a length go where."""
+def places(histogram: dict[int, int], capacity: int, separator: int) -> list[tuple[int, int, int, int, int, int, int]]:
+    """Rows ``(length, low, high, each, base, offset, step)``: which ranks of a length go where.
+
+    Rank ``r`` of ``low`` to before ``high`` lies in container
+    ``base + (r - low) // each`` at ``offset + (r - low) % each * step``.  There are
+    at most two patterns per length, so the rows are bounded by the capacity.
+    """
     # a pack of k items needs k - 1 separators: give each item one and the container one more
     packed = patterns({n + separator: c for n, c in histogram.items()}, capacity + separator)
     rows, used, container = [], defaultdict(int), 0
     for lengths, count in packed:
         offset = 0
-        for padded in lengths:
-            length = padded - separator
-            rows.append((length, used[length], used[length] + count, container, offset))
-            used[length] += count
-            offset += padded
+        for padded, run in groupby(lengths):
+            each, length = len(list(run)), padded - separator
+            rows.append((length, used[length], used[length] + count * each, each, container, offset, padded))
+            used[length] += count * each
+            offset += padded * each
         container += count
     return rows
 
@@ -141,12 +147,12 @@ def pack(items: DataFrame, profiles: DataFrame, scratch: Scratch) -> DataFrame:
 
         rows = rows.sort_values("length")
         made = places(dict(zip(rows["length"].tolist(), rows["n"].tolist())), int(rows["capacity"].iloc[0]), int(rows["separator"].iloc[0]))
-        out = pd.DataFrame(made, columns=["length", "low", "high", "base", "offset"], dtype="int64")
+        out = pd.DataFrame(made, columns=["length", "low", "high", "each", "base", "offset", "step"], dtype="int64")
         out.insert(0, "profile", rows["profile"].iloc[0])
         return out
 
     slots = scratch.save(
-        lengths.join(table, "profile").groupBy("profile").applyInPandas(plan, "profile string, length long, low long, high long, base long, offset long")
+        lengths.join(table, "profile").groupBy("profile").applyInPandas(plan, "profile string, length long, low long, high long, each long, base long, offset long, step long")
     )
     # ranks of rests follow those of the whole items of the same length
     before = starts.select(F.col("tokens").alias("rest"), F.col("n").alias("whole"))
@@ -164,10 +170,10 @@ def pack(items: DataFrame, profiles: DataFrame, scratch: Scratch) -> DataFrame:
             "profile",
             "doc_id",
             "piece",
-            F.concat(F.lit("c"), (F.col("base") + F.col("rank") - F.col("low")).cast("string")).alias("container"),
+            F.concat(F.lit("c"), (F.col("base") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))).cast("string")).alias("container"),
             "start_token",
             F.col("length").alias("tokens"),
-            "offset",
+            (F.col("offset") + (F.col("rank") - F.col("low")) % F.col("each") * F.col("step")).alias("offset"),
         )
     )
     return placed.unionByName(full)

@@ -17,10 +17,10 @@ def test_patterns_hold_every_item_once(histogram, capacity, separator):
     rows = packing.places(histogram, capacity, separator)
     taken = collections.defaultdict(list)
     load = collections.defaultdict(list)
-    for length, low, high, base, offset in rows:
+    for length, low, high, each, base, offset, step in rows:
         taken[length] += range(low, high)
         for i in range(high - low):
-            load[base + i].append((offset, length))
+            load[base + i // each].append((offset + i % each * step, length))
     assert {n: sorted(v) for n, v in taken.items()} == {n: list(range(c)) for n, c in histogram.items()}
     for items in load.values():
         items.sort()
@@ -34,7 +34,7 @@ def test_patterns_hold_every_item_once(histogram, capacity, separator):
 def test_packing_is_tight():
     rng = random.Random(1)
     histogram = collections.Counter(min(512, int(rng.lognormvariate(4, 1)) + 1) for _ in range(20_000))
-    containers = 1 + max(b + h - lo - 1 for _, lo, h, b, _ in packing.places(histogram, 512, 1))
+    containers = 1 + max(b + (h - lo - 1) // n for _, lo, h, n, b, _, _ in packing.places(histogram, 512, 1))
     assert sum(n * c for n, c in histogram.items()) / (containers * 512) > 0.97
 
 
