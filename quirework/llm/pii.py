@@ -191,7 +191,7 @@ class Finder:
     def identity_score(self, text: str, m: re.Match) -> float:
         shown = m.group()
         bare = re.sub(r"[ .-]", "", shown)
-        before, after = text[max(0, m.start() - CONTEXT) : m.start()], text[m.end() : m.end() + 20]
+        before = text[max(0, m.start() - CONTEXT) : m.start()]
         before = re.split(r"[.!?;]\s|\n", before.replace("no. ", "no "))[-1]
         score = 0.5
         if bare.isdigit() and len(bare) >= 13:
@@ -202,7 +202,7 @@ class Finder:
             score = 0.3  # a run of digits may count anything
         if FOR_ID.search(before):
             score += 0.3
-        if AGAINST_ID.search(before) or AGAINST_ID.match(after.strip()):
+        if AGAINST_ID.search(before):
             score -= 0.4
         return score
 
