@@ -71,7 +71,7 @@ FOR_ID = re.compile(
 AGAINST_ID = re.compile(r"(?i)\b(?:rows?|count|invoice|auftrag|rechnung|commande|facture|order|part|hash|build|port|ticket|isbn|shard|lat|version|batch|serial|sku)\b")
 BEFORE_NAME = re.compile(
     r"(?:\b(?:Hi|Hello|Dear|Hallo|Liebe|Lieber|Bonjour|Cher|Chère|Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Mme|Mlle|M|Spoke with|with|by|from|From|candidate|Applicant|owner|backup|ask for|"
-    r"for|ship to|contacter|Ansprechpartner ist|Rückfragen|Contact|contact|as|of|cc|regards|Grüße|Cordialement)\b[.:,]?|>|\|)\s*$"
+    r"for|ship to|contacter|Ansprechpartner ist|Rückfragen|Contact|contact|as|of|cc|regards|Grüße|Cordialement)\b[.:,]?)\s*$"
 )
 AFTER_NAME = re.compile(
     r"\s*(?:[<(|;/]|wrote:|asked\b|pointed\b|reviewed\b|a relu\b|habite\b|wohnt\b|hat den\b|moved to\b|never saw\b|has to\b|needs to\b|said\b|schrieb\b|a écrit\b|, thanks\b|,? tax\b|, Telefon\b|au \+?\d)"
@@ -179,7 +179,8 @@ class Finder:
         for m in self.name.finditer(text):
             a, b = m.span()
             if m.lastgroup == "short" and text[a] == "M" and AFTER_TITLE.match(text, b):
-                a = re.compile(r"M\. ?").match(text, a).end()  # "M." is Monsieur here
+                a = _TITLE.match(text, a).end()  # "M." is Monsieur here
+                b = self.name.match(text, a).end()
             if self.name_score(text, m, a, b) >= THRESHOLD and free(a, b):
                 found.append(("name", a, b))
         return sorted(found, key=lambda s: s[1])
@@ -231,6 +232,7 @@ class Finder:
         return "".join([*out, text[at:]]) if out else text
 
 
+_TITLE = re.compile(r"M\. ?")
 _DOMAIN = re.compile(r"[A-Za-z0-9*](?:[A-Za-z0-9*-]*[A-Za-z0-9*])?(?:\.[A-Za-z0-9*-]+)*\.([A-Za-z]{2,24})(?![\w-])")
 _BRACKETED = re.compile(r"[A-Za-z0-9][\w.+*-]* ?[(\[{] ?(?:at|AT) ?[)\]}] ?[A-Za-z0-9-]+(?:(?:\.| ?[(\[{] ?(?:dot|DOT) ?[)\]}] ?)[A-Za-z0-9-]+)*(?:\.| ?[(\[{] ?(?:dot|DOT) ?[)\]}] ?)[A-Za-z]{2,24}")
 _SPELLED = re.compile(r"[\w+-]+(?: (?:dot|DOT) [\w+-]+)* (?:at|AT) [\w-]+(?: (?:dot|DOT) [\w-]+)+(?![\w-])(?! (?:at|AT|dot|DOT) )")

@@ -27,6 +27,8 @@ def test_each_type():
 def test_unlisted_name_by_its_parts_and_monsieur():
     assert found("NIMDAN TEVWICK left.") == [("name", "NIMDAN TEVWICK")]
     assert found("M. Tevsen a relu.") == [("name", "Tevsen")] and found("M. Tevsen said") == [("name", "M. Tevsen")]
+    assert found("M. Tevsen, Kalnia a relu.") == [("name", "Tevsen, Kalnia")] and found("M. V. Tevsen a relu.") == [("name", "V. Tevsen")]
+    assert found("555 | Will we go? > Will we stay?") == []
 
 
 def test_what_is_none():
