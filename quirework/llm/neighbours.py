@@ -55,11 +55,16 @@ def _score(q: quantise.Quantiser, k: int, floor: float, rerank: int):
                 score /= norm
                 score[nid[rows][:, None] == names[None, :]] = -np.inf
                 best = np.argpartition(-score, r - 1, axis=1)[:, :r]
-                exact = np.einsum("qrd,qd->qr", base[best].astype(np.float64), x[rows].astype(np.float64))
-                exact[names[best] == nid[rows][:, None]] = -np.inf
-                order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-                top = np.take_along_axis(exact, order, 1)
-                who = names[np.take_along_axis(best, order, 1)]
+                if 4 * r >= len(stored):  # one product of all is cheaper than fetching so many of them
+                    cosine = np.take_along_axis(x[rows] @ base.T, best, 1)
+                else:
+                    cosine = np.einsum("qrd,qd->qr", base[best], x[rows])
+                cosine[names[best] == nid[rows][:, None]] = -np.inf
+                order = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(best, order, 1)
+                top = np.einsum("qrd,qd->qr", base[best].astype(np.float64), x[rows].astype(np.float64))
+                top[names[best] == nid[rows][:, None]] = -np.inf
+                who = names[best]
                 ok = top >= floor
                 left.append(np.repeat(nid[rows], ok.sum(1)))
                 right.append(who[ok])

@@ -28,7 +28,7 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 def p4_neighbours(spark: SparkSession, base: str) -> DataFrame:
     """The five nearest of every document, whatever their cosine."""
     rows = read_table(spark, base, "index_documents").select("doc_id", "record_id", "embedding")
-    return neighbours.nearest(rows, "doc_id", "record_id", "embedding", Scratch(spark, "neighbours"), k=5, paths=8, rerank=128)
+    return neighbours.nearest(rows, "doc_id", "record_id", "embedding", Scratch(spark, "neighbours"), k=5, paths=8, rerank=512)
 
 
 def _grouping(spark: SparkSession, base: str) -> clusters.Grouping:
@@ -108,4 +108,16 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_profile": p8_profile,
 }
-SQL: dict[str, str] = {}
+
+# all pairs of usable vectors, for small tables
+_UNITS = """u AS (SELECT doc_id, arg_min(CAST(embedding AS DOUBLE[]), record_id) AS v FROM index_documents WHERE doc_id IS NOT NULL AND len(embedding) = 64
+ AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0 GROUP BY doc_id)"""
+SQL: dict[str, str] = {
+    "p4_found": f"""WITH {_UNITS}, c AS (SELECT a.doc_id AS a, b.doc_id AS b, round(list_cosine_similarity(a.v, b.v), 7) AS cos FROM u a JOIN u b ON a.doc_id <> b.doc_id),
+ n AS (SELECT a, b, cos FROM c QUALIFY row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) <= 5)
+ SELECT DISTINCT least(a, b) AS doc_id_a, greatest(a, b) AS doc_id_b FROM n WHERE cos >= 0.975""",
+    "p5_found": f"""WITH RECURSIVE {_UNITS}, e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.doc_id <> b.doc_id WHERE list_cosine_similarity(a.v, b.v) >= 0.8),
+ r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+ m AS (SELECT a AS doc_id, least(a, min(b)) AS cluster_id FROM r GROUP BY a)
+ SELECT cluster_id, doc_id FROM m QUALIFY count(*) OVER (PARTITION BY cluster_id) >= 5""",
+}
