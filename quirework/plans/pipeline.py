@@ -16,13 +16,12 @@ from quirework.operators import documents, redaction, search
 
 Step = Callable[[DataFrame], DataFrame]
 ORDER = ("load", "deduplicate", "pii", "summarize", "embed", "cluster", "index")
-LONGEST_BODY = 8192
 DIM = 64
 
 
 def load(df: DataFrame) -> DataFrame:
-    """Rows with a body that is not blank, cut to ``LONGEST_BODY`` characters."""
-    return df.where(F.length(text.clean(F.col("body"))) > 0).withColumn("body", F.substring(F.btrim("body"), 1, LONGEST_BODY))
+    """Rows with a body that is not blank; the whole body without outer blanks."""
+    return df.where(F.length(text.clean(F.col("body"))) > 0).withColumn("body", F.btrim("body"))
 
 
 def deduplicate(df: DataFrame) -> DataFrame:

@@ -70,3 +70,10 @@ def test_pipeline_steps(spark):
     assert pipeline.run(df, ("load", "embed", "cluster"), {"cluster": lambda d: d.limit(1)}).count() == 1
     with pytest.raises(ValueError):
         pipeline.run(df, ("fly",))
+
+
+def test_pipeline_keeps_whole_bodies(spark):
+    long = "plain words " * 1000
+    df = spark.createDataFrame([(1, long + "first"), (2, long + "Mail a@b.org")], "id long, body string")
+    out = {r.id: r.body for r in pipeline.run(df, ("load", "deduplicate", "pii")).collect()}
+    assert out == {1: long + "first", 2: long + "Mail [EMAIL]"}
