@@ -1,10 +1,11 @@
 """Most similar vectors for every vector, by additive quantisation.
 
 Each vector is stored in the leaf of its best path and visits the leaves of its
-``PATHS`` best cells.  In a leaf, a table of inner products with all codebook
-entries scores every stored vector by lookups and its stored norm, and the best
-``RERANK`` of each query are compared exactly.  Candidates from all leaves of a
-query are merged by their exact cosine.
+``PATHS`` best cells.  In a leaf, each query is compared exactly with every
+stored vector: vectors that lie close together have nearly the same code, so a
+choice by codes would lose the nearest of them, and one product of a block of
+queries with the leaf costs less than scoring it by lookups.  The best of all
+leaves of a query are merged by their exact cosine.
 
 Edge cases.  Missing, unusable and wrong-length vectors are left out; a document
 counts once; equal vectors are neighbours with cosine one, found through their
@@ -28,9 +29,8 @@ VISITS = 4096  # queries of a leaf in one task
 BLOCK = 512
 
 
-def _score(q: quantise.Quantiser, k: int, floor: float, rerank: int):
-    """The function that compares one leaf's queries with its stored vectors."""
-    entries, offsets = np.concatenate(q.books), q.offsets
+def _score(k: int, floor: float):
+    """The function that compares one leaf's queries with all its stored vectors."""
 
     def run(table):
         import pyarrow as pa
@@ -39,31 +39,16 @@ def _score(q: quantise.Quantiser, k: int, floor: float, rerank: int):
         x = vectors.unpack(table.column("vec"))
         stored = np.flatnonzero(table.column("stored").to_numpy(zero_copy_only=False))
         asking = np.flatnonzero(table.column("asking").to_numpy(zero_copy_only=False))
-        codes = np.frombuffer(b"".join(v.as_py() for v, s in zip(table.column("codes"), table.column("stored")) if s.as_py()), np.uint16)
-        codes = codes.reshape(len(stored), len(q.books)).astype(np.int64) + offsets
-        norm = np.maximum(table.column("norm").to_numpy(zero_copy_only=False)[stored], 1e-6).astype(np.float32)
         left, right, cos = [], [], []
         if len(stored):
-            base, names = x[stored], nid[stored]
-            r = min(rerank, len(stored))
+            base, names = x[stored].astype(np.float64), nid[stored]
+            r = min(k, len(stored))
             for at in range(0, len(asking), BLOCK):
                 rows = asking[at : at + BLOCK]
-                lookup = x[rows] @ entries.T
-                score = np.zeros((len(rows), len(stored)), np.float32)
-                for m in range(codes.shape[1]):
-                    score += lookup[:, codes[:, m]]
-                score /= norm
-                score[nid[rows][:, None] == names[None, :]] = -np.inf
-                best = np.argpartition(-score, r - 1, axis=1)[:, :r]
-                if 4 * r >= len(stored):  # one product of all is cheaper than fetching so many of them
-                    cosine = np.take_along_axis(x[rows] @ base.T, best, 1)
-                else:
-                    cosine = np.einsum("qrd,qd->qr", base[best], x[rows])
-                cosine[names[best] == nid[rows][:, None]] = -np.inf
-                order = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
-                best = np.take_along_axis(best, order, 1)
-                top = np.einsum("qrd,qd->qr", base[best].astype(np.float64), x[rows].astype(np.float64))
-                top[names[best] == nid[rows][:, None]] = -np.inf
+                cosine = x[rows].astype(np.float64) @ base.T
+                cosine[nid[rows][:, None] == names[None, :]] = -np.inf
+                best = np.argpartition(-cosine, r - 1, axis=1)[:, :r]
+                top = np.take_along_axis(cosine, best, 1)
                 who = names[best]
                 ok = top >= floor
                 left.append(np.repeat(nid[rows], ok.sum(1)))
@@ -76,20 +61,18 @@ def _score(q: quantise.Quantiser, k: int, floor: float, rerank: int):
 
 
 def visits(points: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows ``(leaf, part, nid, vec, codes, norm, stored, asking)``: each vector in each of its leaves."""
+    """Rows ``(leaf, part, nid, vec, stored, asking)``: each vector in each of its leaves."""
     light = scratch.save(quantise.leaves(points, quantise.full_regions(points, scratch)))
     busy = light.groupBy("leaf").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("parts")).where("parts > 1")
     own = F.pmod(F.xxhash64("nid"), F.coalesce("parts", F.lit(1))).cast("int")
     every = F.when(F.col("best"), F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).otherwise(F.array("own"))
     placed = light.join(busy, "leaf", "left").withColumn("own", own).withColumn("part", F.explode(every))
-    kept = points.select("nid", "vec", "codes", "norm")
+    kept = points.select("nid", "vec")
     return placed.join(kept, "nid").select(
         "leaf",
         "part",
         "nid",
         "vec",
-        F.when(F.col("best"), F.col("codes")).alias("codes"),
-        F.when(F.col("best"), F.col("norm")).otherwise(F.lit(0.0)).cast("float").alias("norm"),
         F.col("best").alias("stored"),
         (F.col("part") == F.col("own")).alias("asking"),
     )
@@ -98,13 +81,17 @@ def visits(points: DataFrame, scratch: Scratch) -> DataFrame:
 def nearest(
     df: DataFrame, key: str, record: str, vector: str, scratch: Scratch, k: int = K, floor: float = -2.0, paths: int = quantise.PATHS, rerank: int = RERANK
 ) -> DataFrame:
-    """``(doc_id, neighbour, cos)``: the up to ``k`` nearest of each document with cosine ``floor`` or more."""
+    """``(doc_id, neighbour, cos)``: the up to ``k`` nearest of each document with cosine ``floor`` or more.
+
+    ``rerank`` bounded the exact comparisons of a query in a leaf and is without
+    effect now: all stored vectors of the leaf are compared.
+    """
     units = vectors.unit(df, key, record, vector)
     q = quantise.fit(units, df.count())
     members, sets, points = vectors.classes(units, scratch)
     sets = scratch.save(vectors.shown(members, sets))
-    points = scratch.save(quantise.encoded(points, q, paths, turning=paths))
-    found = visits(points, scratch).groupBy("leaf", "part").applyInArrow(_score(q, k, floor, rerank), "a long, b long, cos double")
+    points = scratch.save(quantise.encoded(points, q, paths, sums=False, turning=paths))
+    found = visits(points, scratch).groupBy("leaf", "part").applyInArrow(_score(k, floor), "a long, b long, cos double")
     found = scratch.save(found)
     # what a sees of b, b sees of a
     both = found.union(found.select("b", "a", "cos")).groupBy("a", "b").agg(F.max("cos").alias("cos"))
