@@ -174,11 +174,11 @@ def encoded(points: DataFrame, q: Quantiser, paths: int = PATHS, sums: bool = Tr
 
 
 def full_regions(points: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """Per depth, from two codes on, the prefixes under which more than ``LEAF_ROWS`` points are stored."""
+    """Per depth, from two codes on, the prefixes under which more than ``LEAF_ROWS`` points are stored, with their number."""
     state, out = points.select(F.element_at("paths", 1).alias("path")), []
-    for depth in range(2, DEPTH):
+    for depth in range(2, DEPTH + 1):
         state = state.withColumn("leaf", F.substring("path", 1, 2 * depth))
-        full = scratch.save(state.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > LEAF_ROWS).select("leaf"))
+        full = scratch.save(state.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > LEAF_ROWS))
         if full.isEmpty():
             break
         out.append(full)
@@ -190,13 +190,21 @@ def leaves(points: DataFrame, full: list[DataFrame], first: int = 0, last: int =
     """``(nid, leaf, best)``: the leaves of a point's paths from ``first`` to before ``last``.
 
     A leaf is the shortest prefix of at least two codes that is not full; what
-    the last index book cannot divide stays together.  ``best`` marks the leaf
-    where the point is stored.  Depths without full regions cost nothing.
+    the last index book cannot divide is stored in blocks by a hash, each a leaf
+    of its own, and a point visits all of them.  ``best`` marks the leaf where
+    the point is stored.  Depths without full regions cost nothing.
     """
     paths = points.select("nid", F.posexplode("paths").alias("nth", "path")).where((F.col("nth") >= first) & (F.col("nth") < last))
     state = paths.select("nid", "path", (F.col("nth") == 0).alias("best"), F.substring("path", 1, 4).alias("leaf"))
-    for step, regions in enumerate(full):
-        state = state.join(regions.withColumn("more", F.lit(True)), "leaf", "left")
+    for step, regions in enumerate(full[: DEPTH - 2]):
+        state = state.join(regions.select("leaf").withColumn("more", F.lit(True)), "leaf", "left")
         deeper = F.when(F.col("more"), F.substring("path", 1, 2 * (step + 3))).otherwise(F.col("leaf"))
         state = state.select("nid", "path", "best", deeper.alias("leaf"))
+    for regions in full[DEPTH - 2 :]:
+        blocks = F.ceil(F.col("n") / LEAF_ROWS).cast("int")
+        state = state.join(regions.withColumn("blocks", blocks).select("leaf", "blocks"), "leaf", "left")
+        state = state.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        own = F.col("blocks").isNull() | (F.pmod(F.xxhash64("nid", F.lit(1)), F.col("blocks")) == F.col("block"))
+        named = F.when(F.col("blocks").isNull(), F.col("leaf")).otherwise(F.concat("leaf", F.unhex(F.lpad(F.hex("block"), 8, "0"))))
+        state = state.select("nid", (F.col("best") & own).alias("best"), named.alias("leaf"))
     return state.groupBy("nid", "leaf").agg(F.max("best").alias("best"))
