@@ -58,6 +58,13 @@ def latest_version(spark: SparkSession, base: str) -> DataFrame:
     return documents.latest(rows, "doc_id", "record_id")
 
 
+@query("""SELECT doc_id, record_id, content_title FROM index_documents WHERE doc_id IS NOT NULL
+ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY record_id DESC) = 1""")
+def latest_record(spark: SparkSession, base: str) -> DataFrame:
+    """The newest record of each document, whether it has a title or not."""
+    return documents.latest(T(spark, base, "index_documents").select("doc_id", "record_id", "content_title"), "doc_id", "record_id")
+
+
 @query(f"""SELECT record_id, md5({CLEAN.format('content_body')}) AS cleaned, CASE WHEN {CLEAN.format('content_body')} = '' THEN 0
  ELSE len(string_split({CLEAN.format('content_body')}, ' ')) END AS words FROM index_documents""")
 def clean_words(spark: SparkSession, base: str) -> DataFrame:

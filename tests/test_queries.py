@@ -77,3 +77,10 @@ def test_pipeline_keeps_whole_bodies(spark):
     df = spark.createDataFrame([(1, long + "first"), (2, long + "Mail a@b.org")], "id long, body string")
     out = {r.id: r.body for r in pipeline.run(df, ("load", "deduplicate", "pii")).collect()}
     assert out == {1: long + "first", 2: long + "Mail [EMAIL]"}
+
+
+def test_latest_record_keeps_untitled(spark, tmp_path):
+    rows = [("a", 1, "old"), ("a", 2, None), ("b", 3, None), (None, 4, "x")]
+    spark.createDataFrame(rows, "doc_id string, record_id long, content_title string").write.parquet(f"{tmp_path}/index_documents.parquet")
+    got = {tuple(r) for r in CORE["latest_record"](spark, str(tmp_path)).collect()}
+    assert got == {("a", 2, None), ("b", 3, None)}
