@@ -28,6 +28,14 @@ CITATION_PATTERNS = {
     "url": r"https?://\S+|www\.\S+",
 }
 
+# All citation families of the reference, curly quotes and quoted sections included.
+CITATION_FAMILIES = {
+    **CITATION_PATTERNS,
+    "direct_quote": r"\"([^\"]+)\"|\u201C([^\u201D]+)\u201D",
+    "inline_reference": r"(?i)(?:see|refer to|as shown in|as described in)\s+(?:section|chapter)?\s*\"?([^.,\"]+)\"?",
+    "footnote": r"(?:(?<=[^0-9])|^)\[(\d+)\]|\{\^(\d+)\}",
+}
+
 
 def clean(text: Column) -> Column:
     """Runs of white space become one blank, outer ones go; null becomes the empty text."""

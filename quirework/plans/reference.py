@@ -115,6 +115,21 @@ def citation_counts(spark: SparkSession, base: str) -> DataFrame:
     return T(spark, base, "index_documents").select("record_id", *[F.regexp_count(body, F.lit(text.CITATION_PATTERNS[k])).cast("long").alias(k) for k in kinds])
 
 
+@query()
+def pii_all_counts(spark: SparkSession, base: str) -> DataFrame:
+    """Matches of all personal-data patterns, phones and cards included."""
+    counts = text.pattern_counts(F.col("content_body"))
+    return T(spark, base, "index_documents").select("record_id", *[c.cast("long").alias(n) for n, c in counts.items()])
+
+
+@query()
+def citation_all_counts(spark: SparkSession, base: str) -> DataFrame:
+    """Matches of all citation families; DuckDB's engine has no look-behind."""
+    body = F.coalesce("content_body", F.lit(""))
+    counts = [F.regexp_count(body, F.lit(p)).cast("long").alias(k) for k, p in text.CITATION_FAMILIES.items()]
+    return T(spark, base, "index_documents").select("record_id", *counts)
+
+
 @query(f"""SELECT record_id, CASE WHEN content_body IS NULL THEN 'body_missing' WHEN length({CLEAN.format('content_body')}) = 0 THEN 'body_blank'
  WHEN octet_length(encode(content_body)) > 102400 THEN 'body_too_large' WHEN contains(content_body, chr(27)) THEN 'control_character'
  WHEN length(trim(content_body)) < 10 THEN 'body_too_short' WHEN coalesce(trim(content_title), '') = '' THEN 'title_empty'

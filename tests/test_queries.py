@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quirework.functions import text
 from quirework.plans import general, pipeline, reference
 from quirework.session import Scratch, running_total
 
@@ -84,3 +85,13 @@ def test_latest_record_keeps_untitled(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id string, record_id long, content_title string").write.parquet(f"{tmp_path}/index_documents.parquet")
     got = {tuple(r) for r in CORE["latest_record"](spark, str(tmp_path)).collect()}
     assert got == {("a", 2, None), ("b", 3, None)}
+
+
+def test_all_patterns_are_counted(spark, tmp_path):
+    body = 'Call +44 20 7946 0958, card 4111-1111-1111-1111. See section "Limits", [3] and {^4}; \u201cquoted\u201d (Kim, 2020) www.a.org'
+    spark.createDataFrame([(1, body), (2, None)], "record_id long, content_body string").write.parquet(f"{tmp_path}/index_documents.parquet")
+    pii = {r.record_id: r.asDict() for r in CORE["pii_all_counts"](spark, str(tmp_path)).collect()}
+    assert set(pii[1]) == {"record_id", *text.PII_PATTERNS} and pii[1]["phone"] > 0 and pii[1]["credit_card"] == 1
+    cited = {r.record_id: r.asDict() for r in CORE["citation_all_counts"](spark, str(tmp_path)).collect()}
+    families = {"direct_quote": 2, "inline_reference": 1, "numbered_reference": 1, "author_year": 1, "footnote": 2, "url": 1}
+    assert cited[1] == {"record_id": 1, **families} and cited[2] == {"record_id": 2, **dict.fromkeys(families, 0)}
