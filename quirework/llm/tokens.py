@@ -2,6 +2,8 @@
 
 The vocabulary file is a parameter (``TOKENIZER_FILE``), read where a task runs
 and never copied.  Texts that occur in one batch more than once are counted once.
+Long texts go to the tokenizer in parts of about ``PIECE`` characters, cut only
+where the split pattern itself always cuts, so the count is that of the whole text.
 """
 
 from __future__ import annotations
@@ -11,13 +13,17 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKENIZER_FILE = os.environ.get("QUIREWORK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the published pattern that splits text before this vocabulary's merges.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PIECE = 200_000  # characters handed to the tokenizer at once
+PIECE = 200_000  # characters handed to the tokenizer at once, or up to the next place where the pattern cuts
+# The pattern never matches across these places: white space after anything else, and a change between letters,
+# numbers and marks, but for the apostrophe before letters.  What comes before such a place is matched alike without the rest.
+CUT = regex.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \n\r\t])|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 
 _loaded: dict = {}
 
@@ -32,22 +38,23 @@ def encoder(path: str = TOKENIZER_FILE):
     return _loaded[path]
 
 
+def parts(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > PIECE:
+        m = CUT.search(text, at + PIECE)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 def count(text: str | None, path: str = TOKENIZER_FILE) -> int:
-    """Tokens of a text, 0 for null.  Texts above ``PIECE`` characters are cut at line ends where there are any."""
+    """Tokens of a text, 0 for null."""
     if not text:
         return 0
     enc = encoder(path)
-    if len(text) <= PIECE:
-        return len(enc.encode_ordinary(text))
-    total, at = 0, 0
-    while at < len(text):
-        end = min(len(text), at + PIECE)
-        if end < len(text):
-            cut = text.rfind("\n", at + PIECE // 2, end)
-            end = cut if cut > at else end
-        total += len(enc.encode_ordinary(text[at:end]))
-        at = end
-    return total
+    return sum(len(enc.encode_ordinary(part)) for part in parts(text))
 
 
 def sized(df: DataFrame, text: str, out: str = "tokens", path: str = TOKENIZER_FILE, keep: list[str] | None = None) -> DataFrame:
