@@ -17,11 +17,15 @@ whatever the shape of the trees:
 5. Paths are chain segments put end to end, and the descendants of a document
    are an interval of its root's numbering.
 
+Joins on a parent or chain that a third of all rows may share are the last step
+before a table is saved, many rows against one per key, which Spark's adaptive
+execution splits by size.
+
 Edge cases.  Null, empty and filler ids and links to ids without a record are
 no links.  Ids are compared as UUIDs where they are UUIDs (case, braces, dashes,
 ``urn:uuid:`` and blanks do not matter) and as trimmed lower-case text otherwise.
 Rows may repeat.  A document named by several parents keeps the smallest, and
-the others are listed by ``conflicts``.  If the way up enters a circle, ``depth``
+the others are listed by ``named_conflicts``.  If the way up enters a circle, ``depth``
 is -1, ``root_id`` the circle's smallest id and the path starts there.  Empty
 tables give empty results.  Columns beyond those named are not read.
 """
@@ -33,6 +37,8 @@ from pyspark.sql import functions as F
 
 from quirework.session import Scratch, running_total
 
+PATH_BLOCK = 512  # members of a chain in one row
+RANGE_BLOCK = 1024  # places of a root's numbering that share a key
 FILLERS = ("", "n/a", "na", "none", "null", "nan", "nil", "-", "--", "?", "unknown")
 
 
@@ -71,20 +77,23 @@ def conflicts(edges: DataFrame) -> DataFrame:
     return edges.join(kept, "child").where("parent > kept").select("child", "kept", F.col("parent").alias("other"))
 
 
-def _double(state: DataFrame) -> DataFrame:
-    """One round: pointers to the 2^(k+1)-th ancestor, the least ancestor on the way, subtree sizes."""
-    below = state.where("ptr is not null").groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("more"))
-    ahead = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("least").alias("least2"))
-    return (
-        state.join(below, "id", "left")
-        .join(ahead, "ptr", "left")
-        .select(
-            "id",
-            "parent",
-            F.col("ptr2").alias("ptr"),
-            F.least("least", "least2").alias("least"),
-            (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
-        )
+def _double(open_: DataFrame) -> DataFrame:
+    """One round over the open rows: pointers to the 2^(k+1)-th ancestor, the least ancestor on the way, subtree sizes.
+
+    Rows that come out without ``ptr`` are closed: their way up ends within the
+    next 2^k links.  What lies below a row that closed in an earlier round comes
+    out as a further row of its id without ``parent``, to be added to it.
+    """
+    below = open_.groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("more"))
+    ahead = open_.select(F.col("id").alias("way"), F.col("ptr").alias("ptr2"), F.col("least").alias("least2"))
+    # rows of closed ids have no pointer; each gets a key of its own that meets nothing
+    sized = open_.join(below, "id", "full").withColumn("way", F.coalesce("ptr", -1 - F.col("id")))
+    return sized.join(ahead, "way", "left").select(
+        "id",
+        "parent",
+        F.col("ptr2").alias("ptr"),
+        F.least("least", "least2").alias("least"),
+        (F.coalesce("size", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("size"),
     )
 
 
@@ -94,14 +103,23 @@ def _start(tree: DataFrame) -> DataFrame:
     )
 
 
-def _sizes(tree: DataFrame, scratch: Scratch, stop_when_stalled: bool) -> DataFrame:
-    state, active = scratch.save(_start(tree)), None
+def _sizes(tree: DataFrame, scratch: Scratch, stop_when_stalled: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(id, parent, size)`` whose way up ends, and the rows left open when their number stops falling.
+
+    A round reads and shuffles only the rows that are still open.
+    """
+    state, active, closed = scratch.save(_start(tree)), None, []
     while True:
-        now = state.where("ptr is not null").count()
+        closed.append(state.where("ptr is null").select("id", "parent", "size"))
+        open_ = state.where("ptr is not null")
+        now = open_.count()
         if now == 0 or (stop_when_stalled and now == active):
-            return state
-        state, old, active = scratch.save(_double(state)), state, now
-        scratch.drop(old)
+            break
+        state, active = scratch.save(_double(open_)), now
+    parts = closed[0]
+    for more in closed[1:]:
+        parts = parts.unionByName(more)
+    return parts.groupBy("id").agg(F.max("parent").alias("parent"), F.sum("size").alias("size")), open_
 
 
 def separate_cycles(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -114,9 +132,9 @@ def separate_cycles(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> Dat
     tree = scratch.save(nodes.select(F.col("nid").alias("id")).join(one, "id", "left"))
     # ways that end do so within 2^k links once the number of open ways stops falling:
     # a longer one would have an open ancestor that closed in between
-    state = _sizes(tree, scratch, stop_when_stalled=True)
-    closed = state.where("ptr is null").select("id", "parent", "size", F.lit(None).cast("long").alias("circle"))
-    ring = scratch.save(state.where("ptr is not null").select("id", "parent", "ptr", "least", "size"))
+    ended, left = _sizes(tree, scratch, stop_when_stalled=True)
+    closed = ended.withColumn("circle", F.lit(None).cast("long"))
+    ring = scratch.save(left)
     total = ring.count()
     if not total:
         return closed
@@ -134,7 +152,7 @@ def separate_cycles(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> Dat
         ring, old = scratch.save(_double(ring)), ring
         scratch.drop(old, found)
     cut = found.select("id", F.when(F.col("id") != F.col("circle"), F.col("parent")).alias("parent"))
-    sized = _sizes(cut, scratch, stop_when_stalled=False)
+    sized, _ = _sizes(cut, scratch, stop_when_stalled=False)
     return closed.unionByName(sized.join(found.select("id", "circle"), "id").select("id", "parent", "size", "circle"))
 
 
@@ -172,10 +190,11 @@ def _chains(forest: DataFrame, scratch: Scratch) -> DataFrame:
 def label(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per document number ``id``.
 
-    ``root``, ``depth`` (-1 if the way up enters a circle), ``chain`` and ``pos``
-    (place on the chain), ``segments`` (chains above, with the last place used on
-    each), ``first`` and ``last`` (the document and its descendants are the rows
-    of the same root whose ``first`` lies in this interval), ``size``.
+    ``root`` and its id ``root_id``, ``level`` (links up to the root), ``depth``
+    (the same, but -1 if the way up enters a circle), ``chain`` and ``pos`` (place
+    on the chain), ``segments`` (chains above, with the last place used on each),
+    ``first`` and ``last`` (the document and its descendants are the rows of the
+    same root whose ``first`` lies in this interval), ``size``.
     """
     forest = scratch.save(separate_cycles(nodes, edges, scratch))
     state = scratch.save(_chains(forest, scratch))
@@ -185,17 +204,20 @@ def label(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     ordered = scratch.save(running_total(light, ["parent", "head"], F.col("size"), "before", scratch))
     first = ordered.groupBy("parent").agg(F.min("before").alias("at"))
     inner = state.where("heavy").select("parent", F.col("size").alias("heavy_size"))
+    # a row per parent first, so that a parent of many children meets them in one join alone
+    parents = scratch.save(first.join(inner, "parent").join(place, "parent"))
     chains = scratch.save(
-        ordered.join(first, "parent")
-        .join(inner, "parent")
-        .join(place, "parent")
-        .select("head", "up", "up_pos", (F.col("up_pos") + 1 + F.col("heavy_size") + F.col("before") - F.col("at")).alias("shift"))
+        ordered.join(parents, "parent").select(
+            "head", "up", "up_pos", (F.col("up_pos") + 1 + F.col("heavy_size") + F.col("before") - F.col("at")).alias("shift")
+        )
     )
     segment = "array<struct<chain:long,upto:long>>"
+    roots = state.where("parent is null").join(nodes.select(F.col("nid").alias("id"), F.col("doc_id").alias("root_id")), "id")
     level = scratch.save(
-        state.where("parent is null").select(
+        roots.select(
             "head",
             F.col("id").alias("root"),
+            "root_id",
             F.lit(0).cast("long").alias("base"),
             F.lit(0).cast("long").alias("at"),
             F.array().cast(segment).alias("segments"),
@@ -203,11 +225,12 @@ def label(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     )
     levels = [level]
     while True:
-        above = level.select(F.col("head").alias("up"), "root", "base", F.col("at").alias("at0"), "segments")
+        above = level.select(F.col("head").alias("up"), "root", "root_id", "base", F.col("at").alias("at0"), "segments")
         level = scratch.save(
             chains.join(above, "up").select(
                 "head",
                 "root",
+                "root_id",
                 (F.col("base") + F.col("up_pos") + 1).alias("base"),
                 (F.col("at0") + F.col("shift")).alias("at"),
                 F.concat("segments", F.array(F.struct(F.col("up").alias("chain"), F.col("up_pos").alias("upto")))).cast(segment).alias("segments"),
@@ -224,6 +247,8 @@ def label(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
             "id",
             "parent",
             "root",
+            "root_id",
+            (F.col("base") + F.col("pos")).alias("level"),
             F.when(F.col("circle").isNull(), F.col("base") + F.col("pos")).otherwise(F.lit(-1).cast("long")).cast("int").alias("depth"),
             F.col("head").alias("chain"),
             "pos",
@@ -236,86 +261,102 @@ def label(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
+def _named(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    return labels.join(nodes.select(F.col("nid").alias("id"), "doc_id"), "id")
+
+
 def found(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, root_id, depth)`` of each document that has a parent."""
     child = edges.select(F.col("child").alias("id")).distinct()
-    name = nodes.select(F.col("nid").alias("id"), "doc_id")
-    root = nodes.select(F.col("nid").alias("root"), F.col("doc_id").alias("root_id"))
-    return labels.join(child, "id").join(name, "id").join(root, "root").select("doc_id", "root_id", "depth")
+    return _named(nodes, labels.join(child, "id")).select("doc_id", "root_id", "depth")
 
 
-def paths(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, root_id, depth, path, n_descendants)``; ``path`` lists the ids from the root to the document.
+def named_conflicts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(doc_id, kept_parent, other_parent)``: links that the results leave out because a smaller parent is kept."""
+    out = conflicts(edges)
+    for column, new in (("child", "doc_id"), ("kept", "kept_parent"), ("other", "other_parent")):
+        out = out.join(nodes.select(F.col("nid").alias(column), F.col("doc_id").alias(new)), column)
+    return out.select("doc_id", "kept_parent", "other_parent")
 
-    Each chain's members are listed once, chains get the list above their head
-    from their segments, and a document's path is that list and the part of its
-    own chain up to its place.
+
+def intervals(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, root_id, first, last, n_descendants)``: the descendants of a document are the documents of
+    its root with ``first`` above its own and up to its ``last``."""
+    return _named(nodes, labels).select("doc_id", "root_id", "first", "last", (F.col("size") - 1).alias("n_descendants"))
+
+
+def segments(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, root_id, depth, nth, chain_id, upto)``: the way from the root as stretches of chains.
+
+    The way takes the places 0 to ``upto`` of each chain in turn; there are at
+    most ``log2(n)`` of them, however deep the document lies.
     """
-    named = labels.join(nodes.select(F.col("nid").alias("id"), "doc_id"), "id")
-    members = named.groupBy("chain").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "doc_id"))), lambda x: x["doc_id"]).alias("members"))
-    heads = labels.where("pos = 0").select(F.col("chain").alias("own"), F.posexplode("segments").alias("nth", "seg"))
-    above = (
-        heads.select("own", "nth", F.col("seg.chain").alias("chain"), F.col("seg.upto").alias("upto"))
-        .join(members, "chain")
-        .select("own", F.struct("nth", F.slice("members", F.lit(1), (F.col("upto") + 1).cast("int")).alias("part")).alias("part"))
-        .groupBy(F.col("own").alias("chain"))
-        .agg(F.flatten(F.transform(F.sort_array(F.collect_list("part")), lambda x: x["part"])).alias("above"))
-    )
-    way = F.concat(F.coalesce("above", F.array().cast("array<string>")), F.slice("members", F.lit(1), (F.col("pos") + 1).cast("int")))
-    return (
-        named.join(members, "chain")
-        .join(above, "chain", "left")
-        .select("doc_id", F.element_at(way, 1).alias("root_id"), "depth", way.alias("path"), (F.col("size") - 1).alias("n_descendants"))
-    )
+    own = F.array(F.struct(F.col("chain"), F.col("pos").alias("upto")))
+    ways = _named(nodes, labels).select("doc_id", "root_id", "depth", F.posexplode(F.concat("segments", own)).alias("nth", "s"))
+    head = nodes.select(F.col("nid").alias("chain"), F.col("doc_id").alias("chain_id"))
+    flat = ways.select("doc_id", "root_id", "depth", "nth", F.col("s.chain").alias("chain"), F.col("s.upto").alias("upto"))
+    return flat.join(head, "chain").select("doc_id", "root_id", "depth", "nth", "chain_id", "upto")
 
 
-def descendants(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(ancestor_id, descendant_id, distance)`` for all documents outside circles.
+def paths(nodes: DataFrame, labels: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, root_id, depth, path, n_descendants)``; ``path`` lists the ids from the root to the document.
 
-    A descendant names its ancestors by its chain segments, so each pair is made
-    once and the work is that of the result.  Below a circle the ancestors start
-    with the circle's cut document.
+    With ``asked(id)`` only for those document numbers; the paths of a deep tree
+    together are as long as its depths summed, so there ``segments`` is the form
+    for all documents.  Chains are spelled in blocks of ``PATH_BLOCK`` members, and
+    a block's members share the way up to the block; no row holds more than one
+    path and no key more members than a block.
     """
-    spelled = labels.select(
-        F.col("id").alias("d"),
-        F.concat("segments", F.array(F.struct(F.col("chain"), F.col("pos").alias("upto")))).alias("segments"),
-    )
-    way = spelled.select("d", F.explode("segments").alias("s")).select("d", F.col("s.chain").alias("chain"), F.col("s.upto").alias("upto"))
-    base = labels.select("chain", F.col("id").alias("a"), "pos", "segments")
-    height = base.select("chain", "a", "pos", (F.aggregate("segments", F.lit(0).cast("long"), lambda s, x: s + x["upto"] + 1) + F.col("pos")).alias("h"))
-    deep = labels.select(F.col("id").alias("d"), (F.aggregate("segments", F.lit(0).cast("long"), lambda s, x: s + x["upto"] + 1) + F.col("pos")).alias("dh"))
-    name = nodes.select(F.col("nid"), "doc_id")
-    return (
-        way.join(height, "chain")
-        .where("pos <= upto and a != d")
-        .join(deep, "d")
-        .join(name.select(F.col("nid").alias("a"), F.col("doc_id").alias("ancestor_id")), "a")
-        .join(name.select(F.col("nid").alias("d"), F.col("doc_id").alias("descendant_id")), "d")
-        .select("ancestor_id", "descendant_id", (F.col("dh") - F.col("h")).cast("int").alias("distance"))
+    named = _named(nodes, labels).withColumn("block", F.floor(F.col("pos") / PATH_BLOCK))
+    listed = lambda order: F.transform(F.sort_array(F.collect_list(F.struct(*order))), lambda x: x[order[-1]])
+    members = named.groupBy("chain", "block").agg(listed(["pos", "doc_id"]).alias("members"))
+    wanted = named if asked is None else named.join(asked.select("id"), "id", "left_semi")
+    places = wanted.select("chain", "block").distinct()
+    heads = labels.where("pos = 0").join(wanted.select("chain").distinct(), "chain", "left_semi")
+    way = heads.select(F.col("chain").alias("own"), F.posexplode("segments").alias("nth", "seg"))
+    way = way.select("own", "nth", F.col("seg.chain").alias("chain"), F.col("seg.upto").alias("upto"))
+    way = way.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("upto") / PATH_BLOCK))))
+    length = F.least(F.lit(PATH_BLOCK).cast("long"), F.col("upto") - F.col("block") * PATH_BLOCK + 1).cast("int")
+    above = (
+        way.join(members, ["chain", "block"])
+        .select(F.col("own").alias("chain"), "nth", "block", F.slice("members", F.lit(1), length).alias("part"))
+        .groupBy("chain")
+        .agg(F.flatten(listed(["nth", "block", "part"])).alias("above"))
     )
+    earlier = places.where("block > 0").select("chain", F.col("block").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1)).alias("block"))
+    before = earlier.join(members, ["chain", "block"]).groupBy("chain", F.col("at").alias("block")).agg(F.flatten(listed(["block", "members"])).alias("before"))
+    none = F.array().cast("array<string>")
+    stretch = places.join(members, ["chain", "block"]).join(before, ["chain", "block"], "left").join(above, "chain", "left")
+    stretch = stretch.select("chain", "block", "members", F.concat(F.coalesce("above", none), F.coalesce("before", none)).alias("start"))
+    path = F.concat("start", F.slice("members", F.lit(1), (F.col("pos") - F.col("block") * PATH_BLOCK + 1).cast("int")))
+    return wanted.join(stretch, ["chain", "block"]).select("doc_id", "root_id", "depth", path.alias("path"), (F.col("size") - 1).alias("n_descendants"))
+
+
+def descendants(nodes: DataFrame, labels: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """``(ancestor_id, descendant_id, distance)``, with ``asked(id)`` only for those ancestors.
+
+    A document's interval is cut at multiples of ``RANGE_BLOCK`` and meets the
+    documents of its root that lie in the same blocks, of which there are at most
+    that many per key; nearly all pairs met are results.  Below a circle the
+    ancestors start with the circle's cut document.
+    """
+    named = _named(nodes, labels)
+    below = named.select("root", F.floor(F.col("first") / RANGE_BLOCK).alias("block"), F.col("first").alias("at"), F.col("level").alias("deep"), F.col("doc_id").alias("descendant_id"))
+    wanted = named.where("last > first") if asked is None else named.where("last > first").join(asked.select("id"), "id", "left_semi")
+    spread = F.sequence(F.floor((F.col("first") + 1) / RANGE_BLOCK), F.floor(F.col("last") / RANGE_BLOCK))
+    above = wanted.select("root", F.explode(spread).alias("block"), "first", "last", "level", F.col("doc_id").alias("ancestor_id"))
+    met = above.join(below, ["root", "block"]).where("at > first and at <= last")
+    return met.select("ancestor_id", "descendant_id", (F.col("deep") - F.col("level")).cast("int").alias("distance"))
 
 
 def circles(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
     """``(circle_id, doc_id, step)``: the members of each circle, ``step`` 0 being its smallest id.
 
     A circle is the way down from its cut document to the document which that one
-    names as its parent, and the labels hold that way as chain segments.
+    names as its parent: the documents of that root whose interval holds it.
     """
     cut = labels.where("circle = id").select(F.col("id").alias("child"))
     above = edges.groupBy("child").agg(F.min("parent").alias("id"))
-    end = cut.join(above, "child").join(labels.select("id", "segments", "chain", "pos"), "id")
-    seg = end.select(
-        F.col("child").alias("circle"),
-        F.posexplode(F.concat("segments", F.array(F.struct(F.col("chain"), F.col("pos").alias("upto"))))).alias("nth", "s"),
-    ).select("circle", F.col("s.chain").alias("chain"), F.col("s.upto").alias("upto"))
-    height = labels.select(
-        "chain", "id", "pos", (F.aggregate("segments", F.lit(0).cast("long"), lambda s, x: s + x["upto"] + 1) + F.col("pos")).alias("step")
-    )
-    name = nodes.select(F.col("nid"), "doc_id")
-    return (
-        seg.join(height, "chain")
-        .where("pos <= upto")
-        .join(name.select(F.col("nid").alias("circle"), F.col("doc_id").alias("circle_id")), "circle")
-        .join(name.select(F.col("nid").alias("id"), "doc_id"), "id")
-        .select("circle_id", "doc_id", F.col("step").cast("int"))
-    )
+    end = cut.join(above, "child").join(labels.select("id", F.col("first").alias("at")), "id").select(F.col("child").alias("root"), "at")
+    ring = labels.join(end, "root").where("first <= at and at <= last").select("id", "root_id", "level")
+    return _named(nodes, ring).select(F.col("root_id").alias("circle_id"), "doc_id", F.col("level").cast("int").alias("step"))

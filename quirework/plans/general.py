@@ -34,6 +34,24 @@ def p1_circles(spark: SparkSession, base: str) -> DataFrame:
     return hierarchy.circles(*_labelled(spark, base))
 
 
+def p1_conflicts(spark: SparkSession, base: str) -> DataFrame:
+    """Links to a second or later parent, which the other results leave out."""
+    nodes, edges = hierarchy.links(read_table(spark, base, "lineage"), Scratch(spark, "hierarchy"))
+    return hierarchy.named_conflicts(nodes, edges)
+
+
+def p1_segments(spark: SparkSession, base: str) -> DataFrame:
+    """Paths as stretches of chains, at most log2(n) of them a document."""
+    nodes, _, labels = _labelled(spark, base)
+    return hierarchy.segments(nodes, labels)
+
+
+def p1_intervals(spark: SparkSession, base: str) -> DataFrame:
+    """Descendants as an interval of the root's numbering."""
+    nodes, _, labels = _labelled(spark, base)
+    return hierarchy.intervals(nodes, labels)
+
+
 TIME_FIELDS = (
     ("index_documents", "timestamp_utc", "source"),
     ("document_metadata", "last_modified_utc", "source"),
@@ -70,6 +88,9 @@ QUERIES = {
     "p1_paths": p1_paths,
     "p1_descendants": p1_descendants,
     "p1_circles": p1_circles,
+    "p1_conflicts": p1_conflicts,
+    "p1_segments": p1_segments,
+    "p1_intervals": p1_intervals,
     "p2_found": p2_found,
     "p2_normalised": p2_normalised,
 }

@@ -407,6 +407,9 @@ SQL["p1_circles"] = f"""WITH RECURSIVE {_TREE}, ring AS (SELECT doc AS id, min(a
   SELECT s.circle_id, t.child, s.step + 1 FROM step s JOIN tree t ON t.parent = s.doc_id JOIN ring r ON r.id = t.child WHERE t.child <> s.circle_id)
  SELECT circle_id, doc_id, CAST(step AS INTEGER) AS step FROM step"""
 
+SQL["p1_conflicts"] = f"""WITH {_EDGES}, tree AS (SELECT child, min(parent) AS parent FROM edges WHERE parent IN (SELECT id FROM known) AND child IN (SELECT id FROM known) GROUP BY child)
+ SELECT e.child AS doc_id, t.parent AS kept_parent, e.parent AS other_parent FROM edges e JOIN tree t ON t.child = e.child WHERE e.parent > t.parent AND e.parent IN (SELECT id FROM known)"""
+
 _CUT = f"""{_TREE}, ring AS (SELECT doc AS id, min(anc) AS circle_id FROM reach WHERE doc IN (SELECT doc FROM reach WHERE doc = anc)
    AND anc IN (SELECT doc FROM reach WHERE doc = anc) GROUP BY doc),
  cut AS (SELECT child, parent FROM tree WHERE child NOT IN (SELECT circle_id FROM ring)),

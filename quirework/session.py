@@ -11,6 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SMALL_ROWS = 100_000  # rows up to which a table of a few short columns is broadcast
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, else unchanged.
+
+    ``df`` is read once to see its size, so it should be a saved table or the
+    result of an aggregation that is small where it is asked for.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``base``."""
     return spark.read.parquet(os.path.join(base, f"{name}.parquet"))
@@ -19,11 +31,14 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) is a temporary
-    folder made and recorded in the session.
+    Where the session names none, a session on one machine gets a temporary
+    folder, recorded in the session; a cluster gets an error, because executors
+    would each write to a folder of their own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.quirework.shared", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.quirework.shared", folder)
     return folder.rstrip("/")

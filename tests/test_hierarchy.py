@@ -107,3 +107,28 @@ def test_empty_and_conflicts(spark):
     nodes, edges, labels = run(spark, rows)
     assert hierarchy.conflicts(edges).count() == 1
     assert [(r.root_id, r.depth) for r in hierarchy.found(nodes, edges, labels).collect()] == [(name(1), 1)]
+
+
+def test_deep_chain_and_wide_star(spark, monkeypatch):
+    """Segments and intervals of a chain of 3,000 and a star of 20,000; paths and descendants of asked documents only."""
+    monkeypatch.setattr(hierarchy, "PATH_BLOCK", 100)
+    monkeypatch.setattr(hierarchy, "RANGE_BLOCK", 64)
+    chain, star = 3000, 20000
+    rows = [(name(i), name(i - 1), None, None, "x") for i in range(1, chain)] + [(name(0), None, None, None, "x")]
+    rows += [(name(100000), None, None, None, "x")] + [(name(100001 + i), name(100000), None, None, "x") for i in range(star)]
+    nodes, edges, labels = run(spark, rows)
+    ends = {r.doc_id: r for r in hierarchy.intervals(nodes, labels).collect()}
+    assert ends[name(0)].n_descendants == chain - 1 and ends[name(100000)].n_descendants == star
+    ways = hierarchy.segments(nodes, labels).where(f"doc_id = '{name(chain - 1)}'").collect()
+    assert [(r.chain_id, r.upto, r.depth) for r in ways] == [(name(0), chain - 1, chain - 1)]
+    asked = nodes.where(f"doc_id in ('{name(chain - 1)}', '{name(250)}', '{name(100007)}')").selectExpr("nid AS id")
+    spelled = {r.doc_id: list(r.path) for r in hierarchy.paths(nodes, labels, asked).collect()}
+    assert spelled == {name(chain - 1): [name(i) for i in range(chain)], name(250): [name(i) for i in range(251)], name(100007): [name(100000), name(100007)]}
+    below = hierarchy.descendants(nodes, labels, asked).collect()
+    assert len(below) == chain - 1 - 250 and {(r.ancestor_id, r.distance) for r in below} == {(name(250), d) for d in range(1, chain - 250)}
+
+
+def test_second_parents_are_listed(spark):
+    nodes, edges, _ = run(spark, [(name(1), name(2), [name(3), name(4)], None, "x"), *[(name(i), None, None, None, "x") for i in (2, 3, 4)]])
+    got = {tuple(r) for r in hierarchy.named_conflicts(nodes, edges).collect()}
+    assert got == {(name(1), name(2), name(3)), (name(1), name(2), name(4))}

@@ -81,3 +81,27 @@ def test_empty(spark):
 def test_em_shares():
     weight, best = timestamps._em({"dmy": 90, "mdy": 10, "mdy,dmy": 50}, {})
     assert best["mdy,dmy"][0] == "dmy" and abs(weight["dmy"] - 0.9) < 0.01
+
+
+def test_long_short_and_negative_values(spark):
+    cases = [
+        (" " * 200 + "2024-01-02T03:04:05Z", micros(2024, 1, 2, 3, 4, 5)),
+        ("2024-01-02" + " " * 100_000 + "03:04:05", micros(2024, 1, 2, 3, 4, 5)),
+        ("86400", 86400 * 10**6),
+        ("-86400.5", -86400_500000),
+        ("20240115", micros(2024, 1, 15)),
+        ("2016-12-31T23:59:60Z", micros(2017, 1, 1)),
+        ("2016-12-31T23:58:60Z", None),
+        ("1" * 30, None),
+        ("1 Jan 2024" + "," * 100_000 + "10:00", None),
+    ]
+    assert [u for u, _ in read(spark, [(v, "plain") for v, _ in cases])] == [want for _, want in cases]
+
+
+def test_open_zones_and_folds_are_marked(spark):
+    ist = "2024-01-02 10:00 IST"
+    shown = [("2024-01-02 10:00 +02:00", "us")] * 300
+    got = read(spark, [(ist, "us"), (ist, "plain"), ("2023-10-29 02:30:00", "de"), ("03/04/2024", "plain"), *shown], "prior")
+    assert got[:3] == [(micros(2024, 1, 2, 8), "ok"), (micros(2024, 1, 2, 4, 30), "ambiguous"), (micros(2023, 10, 29, 0, 30), "ambiguous")]
+    assert got[3] == (micros(2024, 3, 4), "ambiguous")
+    assert read(spark, [(ist, "us"), *shown])[0] == (micros(2024, 1, 2, 4, 30), "ok")
