@@ -1,9 +1,11 @@
 """Mixing sources to target weights along a curriculum.
 
 Each source has a weight schedule over the training time ``t`` from 0 to 1 whose
-integral is its target share: ``w(t) = share * (1 + tilt * (2t - 1))``.  The
-tilt grows with the source's mean document size, centred so that the weights of
-a mix sum to one at all times; short documents come early, long ones late.  The
+integral is its target share: ``w(t) = share * (1 + tilt * (2t - 1))``.  Tilts
+may be given, a row per mix and source; without, the tilt grows with the
+source's mean document size, so that short documents come early, long ones late.
+Tilts are centred and scaled so that the weights of a mix sum to one and none is
+negative at any time.  The
 integral times the total size is the source's cumulative token demand.  A
 source's documents stand in a hashed order, again for each repetition, and the
 middle of a document's tokens in that stream, put into the inverse of the demand,
@@ -14,7 +16,7 @@ weights.
 The total size of a mix is the wanted one, or less where a source with its cap
 of repetitions cannot fill its share: shares are kept, the total gives way.
 
-Edge cases.  Sources are compared without case and outer blanks.  Targets whose
+Edge cases.  A given tilt that is missing or null counts as 0.  Sources are compared without case and outer blanks.  Targets whose
 source has no tokens, or whose share is null or not positive, take no part, and
 the shares of the others are scaled to sum to one.  Targets named twice in a mix
 are added, with the smaller cap.  A null cap is none; a cap of 1.5 lets a source
@@ -36,10 +38,11 @@ def _key(source):
     return F.lower(F.btrim(source, F.lit(" \t\r\n ")))
 
 
-def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
+def plan(sized: DataFrame, targets: DataFrame, schedule: DataFrame | None = None) -> DataFrame:
     """A row per target: ``mix_name, source, target_share, share, available, cap, wanted, total, demand, tilt``.
 
-    ``sized`` has ``source`` and ``tokens``.  Targets that take no part have share 0.
+    ``sized`` has ``source`` and ``tokens``, ``schedule`` has ``mix_name``, ``source`` and
+    ``tilt``.  Targets that take no part have share 0.
     """
     have = sized.groupBy(_key("source").alias("source")).agg(F.sum("tokens").alias("available"), F.avg("tokens").alias("mean"))
     corpus = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("corpus"))
@@ -55,10 +58,15 @@ def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     wished = F.max("fraction").over(mix) * F.col("corpus")
     limit = F.min(F.when(F.col("share") > 0, F.col("cap") * F.col("available") / F.col("share"))).over(mix)
     rows = rows.withColumn("wanted", wished).withColumn("total", F.least(F.col("wanted"), limit))
-    low, high = F.min(F.when(F.col("share") > 0, F.col("mean"))).over(mix), F.max(F.when(F.col("share") > 0, F.col("mean"))).over(mix)
-    rows = rows.withColumn("size", F.coalesce(F.try_divide(F.col("mean") - low, high - low), F.lit(0.0)))
-    centred = F.col("size") - F.sum(F.col("share") * F.col("size")).over(mix)
-    return rows.withColumn("tilt", F.lit(TILT) * centred).select(
+    if schedule is None:
+        low, high = F.min(F.when(F.col("share") > 0, F.col("mean"))).over(mix), F.max(F.when(F.col("share") > 0, F.col("mean"))).over(mix)
+        rows = rows.withColumn("given", F.lit(TILT) * F.coalesce(F.try_divide(F.col("mean") - low, high - low), F.lit(0.0)))
+    else:
+        asked = schedule.groupBy("mix_name", _key("source").alias("source")).agg(F.max("tilt").cast("double").alias("given"))
+        rows = rows.join(asked, ["mix_name", "source"], "left").withColumn("given", F.coalesce("given", F.lit(0.0)))
+    rows = rows.withColumn("centred", F.col("given") - F.sum(F.col("share") * F.col("given")).over(mix))
+    steepest = F.max(F.when(F.col("share") > 0, F.abs("centred"))).over(mix)
+    return rows.withColumn("tilt", F.col("centred") / F.greatest(F.lit(1.0), steepest)).select(
         "mix_name",
         "source",
         "target_share",
@@ -72,10 +80,10 @@ def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def mix(sized: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
+def mix(sized: DataFrame, targets: DataFrame, scratch: Scratch, schedule: DataFrame | None = None) -> DataFrame:
     """``(mix_name, position, source, doc_id, repetition, tokens, t)`` for ``sized(doc_id, source, tokens)``."""
     rows = sized.where("tokens > 0").withColumn("source", _key("source"))
-    goal = scratch.save(plan(rows, targets).where("demand > 0"))
+    goal = scratch.save(plan(rows, targets, schedule).where("demand > 0"))
     wanted = goal.select("source").distinct()
     # as many rows as the target table has
     used = rows.join(F.broadcast(wanted), "source").select("doc_id", "source", "tokens", F.xxhash64("doc_id").alias("lot"))

@@ -4,8 +4,10 @@ Only the histogram of lengths is packed, not the items: lengths are placed
 longest first, each length's whole count at a time into the open pattern with
 the most room that still takes it (the shortest pack), which splits that
 pattern's count where they differ.  The work depends on the capacity, not on the
-number of items.  Items then find their container by rank: the items of a length
-are numbered, and each pattern place takes a run of these numbers.
+number of items.  Items then find their container by rank: all items are numbered
+in the order of their lengths, each pattern place takes a run of these numbers,
+and both meet in blocks of ``RANK_BLOCK`` numbers, so neither a frequent length nor
+a place that takes many items gathers in one task.
 
 An item longer than the capacity is cut into full containers and a rest; the
 rest is packed like any other item.  Between two items of a container lie
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 
 from quirework.session import Scratch, running_total
 
+RANK_BLOCK = 512  # numbers of items that share a key
+
 
 def patterns(histogram: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns ``(lengths, count)`` of packs whose lengths sum to at most ``room``."""
@@ -109,11 +113,9 @@ def pack(items: DataFrame, profiles: DataFrame, scratch: Scratch) -> DataFrame:
     whole = items.where("tokens > 0").select("doc_id", F.col("tokens").cast("long").alias("tokens"))
     # ranks among the items of a length are the same for every profile that does not cut them
     ranked = scratch.save(running_total(whole, ["tokens", "doc_id"], F.lit(1), "nth", scratch))
-    starts = ranked.groupBy("tokens").agg(F.min("nth").alias("first"), F.count("*").alias("n"))
-    starts = scratch.save(starts)
-    uncut = ranked.join(starts.select("tokens", "first"), "tokens").select("doc_id", "tokens", (F.col("nth") - F.col("first")).alias("rank"))
+    starts = scratch.save(ranked.groupBy("tokens").agg(F.min("nth").alias("first"), F.count("*").alias("n")))
     table = F.broadcast(rules)  # a row per profile
-    fits = uncut.join(table, uncut["tokens"] <= rules["capacity"])
+    fits = ranked.join(table, ranked["tokens"] <= rules["capacity"])
     long_ = whole.join(table, whole["tokens"] > rules["capacity"])
     rests = (
         long_.withColumn("piece", F.floor(F.col("tokens") / F.col("capacity")))
@@ -154,27 +156,34 @@ def pack(items: DataFrame, profiles: DataFrame, scratch: Scratch) -> DataFrame:
     slots = scratch.save(
         lengths.join(table, "profile").groupBy("profile").applyInPandas(plan, "profile string, length long, low long, high long, each long, base long, offset long, step long")
     )
-    # ranks of rests follow those of the whole items of the same length
-    before = starts.select(F.col("tokens").alias("rest"), F.col("n").alias("whole"))
-    tail = (
-        rested.join(rest_starts.select("profile", "rest", "first"), ["profile", "rest"])
-        .join(before, "rest", "left")
-        .select("profile", "doc_id", "piece", "start_token", F.col("rest").alias("length"), (F.col("nth") - F.col("first") + F.coalesce("whole", F.lit(0))).alias("rank"))
-    )
-    head = fits.select("profile", "doc_id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("start_token"), F.col("tokens").alias("length"), "rank")
-    placed = (
-        head.unionByName(tail)
-        .join(slots, ["profile", "length"])
-        .where("rank >= low and rank < high")
-        .select(
+    # ranks in a length count its whole items first, then its rests; each part of a place gets the numbers of its items
+    parts = slots.join(starts.select(F.col("tokens").alias("length"), F.col("first").alias("first_whole"), F.col("n").alias("whole")).hint("merge"), "length", "left")
+    parts = parts.join(rest_starts.select("profile", F.col("rest").alias("length"), F.col("first").alias("first_rest")).hint("merge"), ["profile", "length"], "left")
+    parts = scratch.save(parts.withColumn("whole", F.coalesce("whole", F.lit(0))))
+
+    def met(rows: DataFrame, low, high, shift) -> DataFrame:
+        """Rows of ``(profile, nth)`` with the place that takes them; a place's rank is ``nth`` less ``shift``."""
+        runs = parts.select("profile", "low", "each", "base", "offset", "step", low.alias("from"), high.alias("to"), shift.alias("shift")).where("from < to")
+        runs = runs.withColumn("from", F.col("from") + F.col("shift")).withColumn("to", F.col("to") + F.col("shift"))
+        blocks = F.sequence(F.floor(F.col("from") / RANK_BLOCK), F.floor((F.col("to") - 1) / RANK_BLOCK))
+        runs = runs.withColumn("block", F.explode(blocks))
+        joined = rows.withColumn("block", F.floor(F.col("nth") / RANK_BLOCK)).join(runs.hint("merge"), ["profile", "block"])
+        at = F.col("nth") - F.col("shift") - F.col("low")
+        return joined.where("nth >= from and nth < to").select(
             "profile",
             "doc_id",
             "piece",
-            F.concat(F.lit("c"), (F.col("base") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))).cast("string")).alias("container"),
+            F.concat(F.lit("c"), (F.col("base") + F.floor(at / F.col("each"))).cast("string")).alias("container"),
             "start_token",
             F.col("length").alias("tokens"),
-            (F.col("offset") + (F.col("rank") - F.col("low")) % F.col("each") * F.col("step")).alias("offset"),
+            (F.col("offset") + at % F.col("each") * F.col("step")).alias("offset"),
         )
+
+    none = F.lit(0).cast("long")
+    head = fits.select("profile", "doc_id", none.alias("piece"), none.alias("start_token"), F.col("tokens").alias("length"), "nth")
+    tail = rested.select("profile", "doc_id", "piece", "start_token", F.col("rest").alias("length"), "nth")
+    placed = met(head, F.col("low"), F.least("high", "whole"), F.col("first_whole")).unionByName(
+        met(tail, F.greatest("low", "whole"), F.col("high"), F.col("first_rest") - F.col("whole"))
     )
     return placed.unionByName(full)
 

@@ -3,11 +3,13 @@
 Raters' bands become, per document, a distribution over levels (raters err, so a
 rating speaks for its band most and for the next ones a little).  One unigram
 model per level is counted over the sentences of the labelled documents and
-smoothed towards the mean of all levels.  A document's mean log likelihood under
-each level, and the shares of its stretches of ``WINDOW`` words that each level
-explains best, give the posterior; its weights are fitted to labelled documents
-that the scoring models did not see (two halves, crosswise), so that sure words
-in a minority of sentences do not decide a mixed text alone.
+smoothed towards the mean of all levels.  A document's level is that of the
+highest posterior: the prior of a level, its likelihood of the document's words,
+and the mean posterior of the level over the document's stretches of ``WINDOW``
+words, so that sure words in a minority of sentences do not decide a mixed text
+alone.  Words are not independent, so both likelihood terms are tempered: two
+exponents, the same for all levels, and the prior are all that is fitted, to
+labelled documents that the scoring models did not see (two halves, crosswise).
 
 Labels are a sample; at most ``LABEL_DOCS`` labelled documents, spread by a hash
 of their id, train the models.  Where they lack a level or are fewer than
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +45,9 @@ MIN_WORDS = 60
 LABEL_DOCS = 8000
 MIN_LABELLED = 60
 SMOOTH = 1.0
-WINDOW = 12
+WINDOW = 16
+STRETCH_EXPONENT = 0.5  # of a stretch's likelihood
+FLOOR = 0.02  # least mean posterior of a level
 PER_DOC = 100.0  # words that each labelled document counts for
 OWN, NEXT, OTHER = 0.82, 0.08, 0.02  # what a rating of a level says about each level
 
@@ -83,6 +88,10 @@ def formula(text: str) -> int:
     return 1 + sum(grade >= g for g in (5.0, 10.0, 17.0))
 
 
+def _formulas(texts: pd.Series) -> pd.Series:
+    return texts.map(formula)
+
+
 def labelled(documents: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """``(doc_id, text, half, p1..p4)`` of the labelled documents, seeded ones included where needed."""
     votes = labels.where(F.col("band").between(1, LEVELS) & F.col("doc_id").isNotNull()).select("doc_id", "rater", "band").distinct()
@@ -104,7 +113,7 @@ def labelled(documents: DataFrame, labels: DataFrame, scratch: Scratch) -> DataF
     if have["n"] >= MIN_LABELLED and all(have[f"n{b}"] for b in range(1, LEVELS + 1)):
         return known
     sample = texts.orderBy(F.xxhash64("doc_id")).limit(8 * MIN_LABELLED)
-    seeded = F.udf(lambda t: formula(t), "int")(F.col("text"))
+    seeded = F.pandas_udf(_formulas, "int")(F.col("text"))
     seed = sample.withColumn("level", seeded).where("level > 0")
     said = [F.when(F.col("level") == b, OWN).when(F.abs(F.col("level") - b) == 1, NEXT).otherwise(OTHER).alias(f"p{b}") for b in range(1, LEVELS + 1)]
     return scratch.save(known.unionByName(seed.join(known.select("doc_id"), "doc_id", "left_anti").select("doc_id", "text", half, *said)))
@@ -123,18 +132,44 @@ class Model:
         mean = (counts / totals).mean(1) + 1e-12
         return Model({w: i for i, w in enumerate(names)}, np.log((counts + SMOOTH * mean[:, None]) / (totals + SMOOTH)))
 
-    def features(self, found: list[str]) -> np.ndarray:
+    def evidence(self, found: list[str]) -> np.ndarray:
+        """Per level the mean log likelihood of a word, and the log of the mean posterior over stretches."""
         get = self.vocabulary.get
         at = [i for i in map(get, found) if i is not None]
         if not at:
-            return np.zeros(2 * LEVELS + 1)
+            return np.zeros((2, LEVELS))
         scores = self.logp[at]
-        mean = scores.sum(0)
-        mean = (mean - mean.mean()) / len(found) * 50
-        parts = np.add.reduceat(scores, np.arange(0, len(at), WINDOW), axis=0)
+        mean = scores.sum(0) / len(found)
+        parts = STRETCH_EXPONENT * np.add.reduceat(scores, np.arange(0, len(at), WINDOW), axis=0)
         parts = np.exp(parts - parts.max(1, keepdims=True))
         share = (parts / parts.sum(1, keepdims=True)).mean(0)
-        return np.concatenate([mean, np.log(share + 0.02), [1.0]])
+        return np.array([mean - mean.mean(), np.log(share + FLOOR)])
+
+
+@dataclass
+class Posterior:
+    """The two exponents and the log prior."""
+
+    exponents: np.ndarray
+    prior: np.ndarray
+
+    def of(self, evidence: np.ndarray) -> np.ndarray:
+        """Posteriors of ``evidence``, a row per document."""
+        z = np.tensordot(evidence, self.exponents, (1, 0)) + self.prior
+        e = np.exp(z - z.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+
+    @staticmethod
+    def fit(evidence: np.ndarray, levels: np.ndarray, steps: int = 3000, rate: float = 0.3) -> Posterior:
+        """The exponents and prior of greatest likelihood for ``levels``, a distribution per document."""
+        scale = np.maximum(evidence.std(axis=(0, 2)), 1e-9)
+        scaled = evidence / scale[None, :, None]
+        p = Posterior(np.ones(2), np.zeros(LEVELS))
+        for _ in range(steps):
+            off = p.of(scaled) - levels
+            p.exponents -= rate * np.einsum("nb,neb->e", off, scaled) / len(scaled)
+            p.prior -= rate * off.mean(0)
+        return Posterior(p.exponents / scale, p.prior)
 
 
 def _counts(rows: DataFrame) -> DataFrame:
@@ -159,19 +194,7 @@ def _counts(rows: DataFrame) -> DataFrame:
     return made.groupBy("half", "word").agg(*[F.sum(f"c{b}").alias(f"c{b}") for b in range(1, LEVELS + 1)])
 
 
-def _softmax(x: np.ndarray, y: np.ndarray, steps: int = 2000, rate: float = 0.5) -> np.ndarray:
-    """Weights of a multinomial logistic regression of the distributions ``y`` on ``x``."""
-    scale = x.std(0)
-    scale[scale < 1e-9] = 1.0
-    z, w = x / scale, np.zeros((x.shape[1], LEVELS))
-    for _ in range(steps):
-        e = z @ w
-        e = np.exp(e - e.max(1, keepdims=True))
-        w -= rate * (z.T @ (e / e.sum(1, keepdims=True) - y) / len(z) + 1e-2 * w / len(z))
-    return w / scale[:, None]
-
-
-def fit(documents: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[Model, np.ndarray] | None:
+def fit(documents: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[Model, Posterior] | None:
     rows = labelled(documents, labels, scratch)
     table = _counts(rows).toPandas()
     if not len(table):
@@ -185,15 +208,15 @@ def fit(documents: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[Mode
     def score(batches: Iterator) -> Iterator:
         for batch in batches:
             p = np.column_stack([batch.column(3 + b).to_numpy(zero_copy_only=False) for b in range(LEVELS)])
-            f = np.array([cross[h].features(words(t)) for t, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]).reshape(-1, 2 * LEVELS + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(list(f), pa.list_(pa.float64())), pa.array(list(p), pa.list_(pa.float64()))], names=["f", "p"])
+            e = [cross[h].evidence(words(t)).ravel() for t, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(e, pa.list_(pa.float64())), pa.array(list(p), pa.list_(pa.float64()))], names=["e", "p"])
 
-    made = rows.select("doc_id", "text", "half", "p1", "p2", "p3", "p4").mapInArrow(score, "f array<double>, p array<double>").collect()
-    if len(made) < MIN_LABELLED:  # too few to weigh the features: the likelihoods alone decide
-        return Model.of(names, counts.sum(0)), np.eye(2 * LEVELS + 1, LEVELS)
-    x, y = np.array([r["f"] for r in made]), np.array([r["p"] for r in made])
-    hard = np.eye(LEVELS)[y.argmax(1)]
-    return Model.of(names, counts.sum(0)), _softmax(x, hard)
+    # at most LABEL_DOCS rows of twelve numbers
+    made = rows.select("doc_id", "text", "half", "p1", "p2", "p3", "p4").mapInArrow(score, "e array<double>, p array<double>").collect()
+    if len(made) < MIN_LABELLED:  # too few for exponents: the likelihoods of all words decide
+        return Model.of(names, counts.sum(0)), Posterior(np.array([MIN_WORDS, 0.0]), np.zeros(LEVELS))
+    x, y = np.array([r["e"] for r in made]).reshape(-1, 2, LEVELS), np.array([r["p"] for r in made])
+    return Model.of(names, counts.sum(0)), Posterior.fit(x, np.eye(LEVELS)[y.argmax(1)])
 
 
 def levels(documents: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
@@ -207,10 +230,8 @@ def levels(documents: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFra
             bands, best = [None] * len(found), [None] * len(found)
             at = np.flatnonzero(n >= MIN_WORDS) if fitted else []
             if len(at):
-                model, weights = fitted
-                e = np.array([model.features(found[i]) for i in at]) @ weights
-                e = np.exp(e - e.max(1, keepdims=True))
-                e /= e.sum(1, keepdims=True)
+                model, posterior = fitted
+                e = posterior.of(np.array([model.evidence(found[i]) for i in at]))
                 for i, row in zip(at, e):
                     bands[i], best[i] = int(row.argmax()) + 1, float(row.max())
             arrays = [batch.column(0), pa.array(n), pa.array(bands, pa.int32()), pa.array(best, pa.float64())]

@@ -131,3 +131,38 @@ def test_reading_without_labels(spark, labels):
     assert [g[:2] for g in got] == [(1, True), (1, True), (2, True), (4, False)]
     assert got[0][2] < got[2][2] and got[3][2] is None
     assert reading.levels(documents.limit(0), frame, Scratch(spark, "t")).count() == 0
+
+
+def test_mixing_by_a_given_schedule(spark):
+    """Weights follow given tilts; a source that rises from nothing holds a quarter of its share in the first half."""
+    rng = random.Random(3)
+    rows = [(i, "a" if i % 2 else "b", rng.randrange(1, 9)) for i in range(4000)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("m", "a", 0.5, None, 0.5), ("m", "b", 0.5, None, 0.5)], "mix_name string, source string, target_share double, max_repeats double, corpus_fraction double")
+    schedule = spark.createDataFrame([("m", "A ", 8.0), ("m", "b", -8.0), ("m", "b", None)], "mix_name string, source string, tilt double")
+    part = mixing.mix(sized, targets, Scratch(spark, "t"), schedule).toPandas()
+    half = part[part.t < 0.5]
+    assert abs(half[half.source == "a"].tokens.sum() / part[part.source == "a"].tokens.sum() - 0.25) < 0.02
+    assert abs(part[part.source == "a"].tokens.sum() / part.tokens.sum() - 0.5) < 0.01
+
+
+def test_long_texts_are_cut_where_the_pattern_cuts(monkeypatch):
+    rng = random.Random(4)
+    whole = tokens.encoder()
+    texts = ["".join(rng.choice("abcXYZ  \n\t'!?.,0123é漢\x1c") for _ in range(rng.randrange(1, 90))) for _ in range(500)] + ["x" * 300_001, "ab " * 120_000]
+    for text in texts:
+        monkeypatch.setattr(tokens, "PIECE", rng.randrange(1, 20) if len(text) < 100 else 100_000)
+        parts = list(tokens.parts(text))
+        assert "".join(parts) == text and tokens.count(text) == len(whole.encode_ordinary(text))
+
+
+def test_packing_of_a_frequent_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_BLOCK", 16)
+    rows = [(i, 7) for i in range(3000)] + [(9000 + i, 100 + i % 3) for i in range(500)]
+    items = spark.createDataFrame(rows, "doc_id long, tokens long")
+    profiles = spark.createDataFrame([("a", 128, 1), ("b", 90, 0)], "profile string, capacity_tokens int, separator_tokens int")
+    got = packing.pack(items, profiles, Scratch(spark, "t")).toPandas()
+    for name, capacity in (("a", 128), ("b", 90)):
+        part = got[got.profile == name]
+        assert part.groupby("doc_id").tokens.sum().to_dict() == dict(rows) and not part.duplicated(["doc_id", "piece"]).any()
+        assert part.groupby("container").tokens.sum().max() <= capacity
