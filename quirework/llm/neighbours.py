@@ -1,11 +1,17 @@
 """Most similar vectors for every vector, by additive quantisation.
 
 Each vector is stored in the leaf of its best path and visits the leaves of its
-``PATHS`` best cells.  In a leaf, each query is compared exactly with every
-stored vector: vectors that lie close together have nearly the same code, so a
-choice by codes would lose the nearest of them, and one product of a block of
-queries with the leaf costs less than scoring it by lookups.  The best of all
-leaves of a query are merged by their exact cosine.
+``PATHS`` best cells.  In a leaf, lookup tables of the codebooks and the stored
+norms give the distance of each query to the sum that stands for each stored
+vector.  The sum lies ``err`` away from its vector, and the way from the query to
+the vector makes some angle with that error: with ``slack`` as the greatest
+cosine of the angle, a stored vector is at least ``-slack * err + sqrt((slack *
+err)^2 + distance^2 - err^2)`` away.  At ``slack`` 1 this holds without exception;
+random directions in 64 dimensions rarely exceed 0.3.  Whatever may still be among
+the ``k`` nearest, and not below the wanted cosine, is compared exactly: however
+many near copies a leaf holds, none is left out, and vectors that are far away
+cost a few table lookups.  The best of all leaves of a query are merged by their
+exact cosine.
 
 Edge cases.  Missing, unusable and wrong-length vectors are left out; a document
 counts once; equal vectors are neighbours with cosine one, found through their
@@ -24,13 +30,27 @@ from quirework.llm import quantise, vectors
 from quirework.session import Scratch
 
 K = 5
-RERANK = 64
+SLACK = 1.0
 VISITS = 4096  # queries of a leaf in one task
 BLOCK = 512
+PAIRS = 1 << 17  # exact comparisons at once
 
 
-def _score(k: int, floor: float):
-    """The function that compares one leaf's queries with all its stored vectors."""
+def _within(cosine: np.ndarray | float) -> np.ndarray:
+    """The distance of unit vectors at a cosine."""
+    return np.sqrt(np.maximum(2 - 2 * np.asarray(cosine), 0))
+
+
+def _exact(x: np.ndarray, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    out = np.empty(len(rows))
+    for at in range(0, len(rows), PAIRS):
+        part = slice(at, at + PAIRS)
+        out[part] = np.einsum("rd,rd->r", x[rows[part]].astype(np.float64), x[others[part]].astype(np.float64))
+    return out
+
+
+def _score(q: quantise.Quantiser, k: int, floor: float, slack: float):
+    """The function that compares one leaf's queries with its stored vectors."""
 
     def run(table):
         import pyarrow as pa
@@ -39,59 +59,86 @@ def _score(k: int, floor: float):
         x = vectors.unpack(table.column("vec"))
         stored = np.flatnonzero(table.column("stored").to_numpy(zero_copy_only=False))
         asking = np.flatnonzero(table.column("asking").to_numpy(zero_copy_only=False))
-        left, right, cos = [], [], []
+        parts = []
         if len(stored):
-            base, names = x[stored].astype(np.float64), nid[stored]
-            r = min(k, len(stored))
+            raw = b"".join(v.as_py() for v in table.column("codes").take(pa.array(stored)))
+            codes = np.frombuffer(raw, "<u2").reshape(len(stored), -1)
+            norm, err = (table.column(c).to_numpy(zero_copy_only=False)[stored] for c in ("norm", "err"))
+            scorer = quantise.Scorer(q, codes, norm)
+            reach, lost = slack * err[:, None], ((1 - slack * slack) * err * err)[:, None]
             for at in range(0, len(asking), BLOCK):
                 rows = asking[at : at + BLOCK]
-                cosine = x[rows].astype(np.float64) @ base.T
-                cosine[nid[rows][:, None] == names[None, :]] = -np.inf
-                best = np.argpartition(-cosine, r - 1, axis=1)[:, :r]
-                top = np.take_along_axis(cosine, best, 1)
-                who = names[best]
-                ok = top >= floor
-                left.append(np.repeat(nid[rows], ok.sum(1)))
-                right.append(who[ok])
-                cos.append(top[ok])
-        cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        return pa.table({"a": cat(left, np.int64), "b": cat(right, np.int64), "cos": cat(cos, np.float64)})
+                near = scorer.distances(x[rows])
+                near[nid[stored][:, None] == nid[rows][None, :]] = np.inf
+                low = np.sqrt(np.maximum(near - lost, 0)) - reach - 1e-4  # no stored vector is nearer than this
+                limit = np.full(len(rows), _within(floor) if floor > -1 else np.inf)
+                open_ = (low <= limit).sum(0)
+                many = np.flatnonzero(open_ > 4 * k)
+                if len(many):
+                    # the k-th best of a first choice by codes is as near as the k-th best of all, or farther
+                    first = np.argpartition(low[:, many], 2 * k, axis=0)[: 2 * k]
+                    who = np.repeat(rows[many][None, :], len(first), 0)
+                    cos = _exact(x, who.ravel(), stored[first].ravel()).reshape(first.shape)
+                    limit[many] = np.minimum(limit[many], _within(np.partition(cos, len(cos) - k, axis=0)[len(cos) - k] - 1e-9))
+                b, a = np.nonzero(low <= limit[None, :])
+                a, b = rows[a], stored[b]
+                cos = _exact(x, a, b)
+                ok = cos >= floor
+                a, b, cos = a[ok], b[ok], cos[ok]
+                order = np.lexsort((nid[b], -cos, a))
+                a, b, cos = a[order], b[order], cos[order]
+                start = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
+                nth = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
+                best = nth < k
+                parts.append((nid[a[best]], nid[b[best]], cos[best]))
+        kinds = ("a", np.int64), ("b", np.int64), ("cos", np.float64)
+        return pa.table({n: np.concatenate([p[i] for p in parts]).astype(t) if parts else np.zeros(0, t) for i, (n, t) in enumerate(kinds)})
 
     return run
 
 
 def visits(points: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows ``(leaf, part, nid, vec, stored, asking)``: each vector in each of its leaves."""
+    """Rows ``(leaf, part, nid, vec, codes, norm, err, stored, asking)``: each vector in each of its leaves, with codes where it is stored."""
     light = scratch.save(quantise.leaves(points, quantise.full_regions(points, scratch)))
     busy = light.groupBy("leaf").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("parts")).where("parts > 1")
     own = F.pmod(F.xxhash64("nid"), F.coalesce("parts", F.lit(1))).cast("int")
     every = F.when(F.col("best"), F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).otherwise(F.array("own"))
     placed = light.join(busy, "leaf", "left").withColumn("own", own).withColumn("part", F.explode(every))
-    kept = points.select("nid", "vec")
+    kept = points.select("nid", "vec", "codes", "norm", "err")
     return placed.join(kept, "nid").select(
         "leaf",
         "part",
         "nid",
         "vec",
+        *[F.when(F.col("best"), F.col(c)).alias(c) for c in ("codes", "norm", "err")],
         F.col("best").alias("stored"),
         (F.col("part") == F.col("own")).alias("asking"),
     )
 
 
 def nearest(
-    df: DataFrame, key: str, record: str, vector: str, scratch: Scratch, k: int = K, floor: float = -2.0, paths: int = quantise.PATHS, rerank: int = RERANK
+    df: DataFrame,
+    key: str,
+    record: str,
+    vector: str,
+    scratch: Scratch,
+    k: int = K,
+    floor: float = -2.0,
+    paths: int = quantise.PATHS,
+    per_cell: int = quantise.PER_CELL,
+    slack: float = SLACK,
 ) -> DataFrame:
     """``(doc_id, neighbour, cos)``: the up to ``k`` nearest of each document with cosine ``floor`` or more.
 
-    ``rerank`` bounded the exact comparisons of a query in a leaf and is without
-    effect now: all stored vectors of the leaf are compared.
+    ``paths`` cells of about ``per_cell`` vectors are visited; a ``slack`` below 1
+    compares fewer vectors exactly and may lose some.
     """
-    units = vectors.unit(df, key, record, vector)
-    q = quantise.fit(units, df.count())
+    units = scratch.save(vectors.unit(df, key, record, vector))
+    q = quantise.fit(units, df.count(), per_cell)
     members, sets, points = vectors.classes(units, scratch)
     sets = scratch.save(vectors.shown(members, sets))
-    points = scratch.save(quantise.encoded(points, q, paths, sums=False, turning=paths))
-    found = visits(points, scratch).groupBy("leaf", "part").applyInArrow(_score(k, floor), "a long, b long, cos double")
+    points = scratch.save(quantise.encoded(points, q, paths, turning=min(paths, quantise.PATHS)))
+    found = visits(points, scratch).groupBy("leaf", "part").applyInArrow(_score(q, k, floor, slack), "a long, b long, cos double")
     found = scratch.save(found)
     # what a sees of b, b sees of a
     both = found.union(found.select("b", "a", "cos")).groupBy("a", "b").agg(F.max("cos").alias("cos"))

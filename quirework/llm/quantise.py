@@ -6,7 +6,12 @@ then all together by least squares; the beam search keeps the ``BEAM`` best
 partial sums at each book.  The first two books are the coarse part: their code
 pair names a cell, and a cell with too many vectors is divided by the next,
 small books until its leaves are small (``leaves``).  The remaining books only
-sharpen the sum.
+sharpen the sum.  The coarse books grow with the square root of the rows up to
+``COARSE_MOST`` entries; beyond that only the index books divide further, so the
+books have a bounded size and the sample stays large enough for them.
+
+``Scorer`` gives the squared distance of queries to the sums of a leaf's codes
+from one table of products per book and the stored norms.
 
 Books are fitted to a sample of at most ``FIT_ROWS`` vectors, spread evenly by a
 hash of the id; every vector is encoded and indexed.
@@ -27,7 +32,8 @@ from quirework.llm.vectors import DIM
 from quirework.session import Scratch
 
 FIT_ROWS = 8192
-PER_CELL = 128  # mean vectors per cell; the coarse books grow with the square root of the rows
+PER_CELL = 128  # mean vectors per cell
+COARSE_MOST = 64  # entries of a coarse book; FIT_ROWS holds 128 vectors for each
 INDEX_BOOKS, INDEX_SIZE = 5, 8  # divide full cells
 FINE_BOOKS, FINE_SIZE = 6, 128
 BEAM = 4
@@ -106,12 +112,33 @@ class Quantiser:
         return sum(book[codes[:, m]] for m, book in enumerate(self.books))
 
 
+class Scorer:
+    """Distances to the stored vectors of one leaf by their codes."""
+
+    def __init__(self, q: Quantiser, codes: np.ndarray, norms: np.ndarray):
+        # what comes before the fine books is shared by many vectors of a leaf: each such sum is one table entry
+        first = np.ascontiguousarray(codes[:, :DEPTH])
+        _, at, self.prefix = np.unique(first, axis=0, return_index=True, return_inverse=True)
+        self.centres = Quantiser(q.books[:DEPTH]).decode(first[at])
+        self.fine, self.codes = q.books[DEPTH:], codes[:, DEPTH:]
+        self.norms = norms
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances, a row per stored vector and a column per unit vector of ``x``."""
+        product = np.take(self.centres @ x.T, self.prefix.ravel(), axis=0)
+        for m, book in enumerate(self.fine):
+            product += np.take(book @ x.T, self.codes[:, m], axis=0)
+        product *= -2
+        product += 1 + self.norms[:, None]
+        return np.maximum(product, 0, out=product)
+
+
 def fit(units: DataFrame, rows: int, per_cell: int = PER_CELL) -> Quantiser:
     """Books for about ``rows`` vectors, fitted to at most ``FIT_ROWS`` of them."""
     share = max(1, rows // FIT_ROWS)
     sample = units.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("vec").limit(FIT_ROWS).collect()
     x = vectors.unpack([pa.scalar(bytes(r["vec"])) for r in sample])
-    coarse = max(2, round((rows / per_cell) ** 0.5))
+    coarse = min(COARSE_MOST, max(2, round((rows / per_cell) ** 0.5)))
     return Quantiser.fit(x, [coarse, coarse, *[INDEX_SIZE] * INDEX_BOOKS, *[FINE_SIZE] * FINE_BOOKS])
 
 
@@ -133,7 +160,7 @@ def _ways(rest: np.ndarray, books: list[np.ndarray], turns: int) -> list[np.ndar
 
 
 def encoded(points: DataFrame, q: Quantiser, paths: int = PATHS, sums: bool = True, turning: int = PATHS) -> DataFrame:
-    """``points`` with ``codes`` (all books), ``norm`` of the sum, and ``paths``.
+    """``points`` with ``codes`` (all books), squared ``norm`` of their sum, its distance ``err`` from the vector, and ``paths``.
 
     A path is a cell followed by the codes of the index books, a 16-bit number
     each, so its prefixes name ever smaller regions around the vector.  The first
@@ -158,19 +185,23 @@ def encoded(points: DataFrame, q: Quantiser, paths: int = PATHS, sums: bool = Tr
                         best = np.concatenate([cells[:, 0], fine.encode(rest, 1)[0][:, 0] if sums else turns[0]], 1)
                     for codes in turns:
                         ways.append(np.concatenate([cells[:, p], codes], 1).astype(">u2"))
-                norm = (np.linalg.norm(q.decode(best), axis=1) if sums else np.zeros(len(x))).astype(np.float32)
+                norm, err = np.zeros((2, len(x)), np.float32)
+                if sums:
+                    total = q.decode(best)
+                    norm, err = (total * total).sum(1), np.sqrt(((x - total) ** 2).sum(1))
                 lists = [[w[i].tobytes() for w in ways] for i in range(len(x))]
                 arrays = [
                     part.column(0),
                     part.column(1),
                     pa.array([r.tobytes() for r in best.astype(np.uint16)], pa.binary()),
-                    pa.array(norm),
+                    pa.array(norm.astype(np.float32)),
+                    pa.array(err.astype(np.float32)),
                     pa.array(lists, pa.list_(pa.binary())),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "vec", "codes", "norm", "paths"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "vec", "codes", "norm", "err", "paths"])
 
-    out = points.select("doc_id", "vec").mapInArrow(run, "doc_id string, vec binary, codes binary, norm float, paths array<binary>")
-    return out.withColumn("nid", F.monotonically_increasing_id()).select("nid", "doc_id", "vec", "codes", "norm", "paths")
+    out = points.select("doc_id", "vec").mapInArrow(run, "doc_id string, vec binary, codes binary, norm float, err float, paths array<binary>")
+    return out.withColumn("nid", F.monotonically_increasing_id()).select("nid", "doc_id", "vec", "codes", "norm", "err", "paths")
 
 
 def full_regions(points: DataFrame, scratch: Scratch) -> list[DataFrame]:

@@ -28,7 +28,7 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 def p4_neighbours(spark: SparkSession, base: str) -> DataFrame:
     """The five nearest of every document, whatever their cosine."""
     rows = read_table(spark, base, "index_documents").select("doc_id", "record_id", "embedding")
-    return neighbours.nearest(rows, "doc_id", "record_id", "embedding", Scratch(spark, "neighbours"), k=5, paths=8, rerank=512)
+    return neighbours.nearest(rows, "doc_id", "record_id", "embedding", Scratch(spark, "neighbours"), k=5, paths=16, per_cell=1024, slack=0.1)
 
 
 def _grouping(spark: SparkSession, base: str) -> clusters.Grouping:
@@ -45,6 +45,11 @@ def p5_clusters(spark: SparkSession, base: str) -> DataFrame:
     return _grouping(spark, base).described().withColumn("typical", F.array_join("typical", ","))
 
 
+def p5_quality(spark: SparkSession, base: str) -> DataFrame:
+    """Rounds of neighbour descent and modularity of the communities."""
+    return _grouping(spark, base).quality()
+
+
 def _sizes(spark: SparkSession, base: str) -> DataFrame:
     return tokens.sized(read_table(spark, base, "documents").select("doc_id", "text"), "text")
 
@@ -101,6 +106,7 @@ QUERIES = {
     "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
+    "p5_quality": p5_quality,
     "p6_assignments": p6_assignments,
     "p6_report": p6_report,
     "p7_mix": p7_mix,
