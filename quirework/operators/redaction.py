@@ -41,9 +41,10 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     return kept
 
 
-def redacted(text: str, tokens: dict[str, str]) -> str:
+def redacted(text: str, tokens: dict[str, str], found: list[tuple[str, int, int]] | None = None) -> str:
+    """``text`` with its spans, or those given in order, replaced."""
     out, at = [], 0
-    for name, a, b in spans(text):
+    for name, a, b in spans(text) if found is None else found:
         out += [text[at:a], tokens.get(name, f"[REDACTED:{name}]")]
         at = b
     return "".join([*out, text[at:]])
@@ -58,8 +59,10 @@ def redact(df: DataFrame, key: str, text: str, custom: dict[str, str] | None = N
 
         for batch in batches:
             texts = batch.column(1).to_pylist()
+            found = [spans(t) for t in texts]
+            clean_texts = [redacted(t, tokens, f) for t, f in zip(texts, found)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([redacted(t, tokens) for t in texts], pa.string()), pa.array([len(spans(t)) for t in texts], pa.int32())],
+                [batch.column(0), pa.array(clean_texts, pa.string()), pa.array([len(f) for f in found], pa.int32())],
                 names=[key, "redacted", "matches"],
             )
 

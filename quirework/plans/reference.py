@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.functions import text, vector
-from quirework.operators import chunking, documents, redaction, references, search, steps
+from quirework.operators import chunking, documents, redaction, references, search, steps, timestamps
 from quirework.plans import pipeline
 from quirework.session import read_table
 from quirework.sources.files import log_status
@@ -52,14 +52,17 @@ def dedup_hash(spark: SparkSession, base: str) -> DataFrame:
     return rows.groupBy("document_hash").agg(F.min("record_id").alias("first"), F.count("*").alias("copies"))
 
 
-@query("SELECT doc_id, max(record_id) AS record_id, arg_max(content_title, record_id) AS content_title FROM index_documents WHERE doc_id IS NOT NULL AND content_title IS NOT NULL GROUP BY doc_id")
+_NEWEST = """SELECT doc_id, record_id, content_title FROM index_documents WHERE doc_id IS NOT NULL
+ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY record_id DESC) = 1"""
+
+
+@query(_NEWEST)
 def latest_version(spark: SparkSession, base: str) -> DataFrame:
-    rows = T(spark, base, "index_documents").where("content_title is not null").select("doc_id", "record_id", "content_title")
-    return documents.latest(rows, "doc_id", "record_id")
+    """The newest record of each document; one without a title is the newest all the same."""
+    return documents.latest(T(spark, base, "index_documents").select("doc_id", "record_id", "content_title"), "doc_id", "record_id")
 
 
-@query("""SELECT doc_id, record_id, content_title FROM index_documents WHERE doc_id IS NOT NULL
- QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY record_id DESC) = 1""")
+@query(_NEWEST)
 def latest_record(spark: SparkSession, base: str) -> DataFrame:
     """The newest record of each document, whether it has a title or not."""
     return documents.latest(T(spark, base, "index_documents").select("doc_id", "record_id", "content_title"), "doc_id", "record_id")
@@ -95,24 +98,32 @@ def chunk_words(spark: SparkSession, base: str) -> DataFrame:
 
 
 _PII_SQL = ", ".join(
-    f"len(regexp_extract_all(coalesce(content_body, ''), '{p}', 0, 'i')) AS {n}" for n, p in text.PII_PATTERNS.items() if n not in ("phone", "credit_card")
+    f"len(regexp_extract_all(coalesce(content_body, ''), '{p}', 0, 'i')) AS {n}" for n, p in text.PII_PATTERNS.items()
 )
 
 
 @query(f"SELECT record_id, {_PII_SQL} FROM index_documents")
 def pii_pattern_counts(spark: SparkSession, base: str) -> DataFrame:
     counts = text.pattern_counts(F.col("content_body"))
-    return T(spark, base, "index_documents").select("record_id", *[c.cast("long").alias(n) for n, c in counts.items() if n not in ("phone", "credit_card")])
+    return T(spark, base, "index_documents").select("record_id", *[c.cast("long").alias(n) for n, c in counts.items()])
+
 
+_FOUND = "len(regexp_extract_all(coalesce(content_body, ''), '{}'))"
+_CITED = {
+    "direct_quote": _FOUND.format('"([^"]+)"|“([^”]+)”'),
+    "inline_reference": _FOUND.format(text.CITATION_FAMILIES["inline_reference"].replace('\\"', '"')),
+    "numbered_reference": _FOUND.format(text.CITATION_FAMILIES["numbered_reference"]),
+    "author_year": _FOUND.format(text.CITATION_FAMILIES["author_year"]),
+    # this engine has no look-behind: those in brackets less those behind a digit
+    "footnote": f"{_FOUND.format(r'\[(\d+)\]')} - {_FOUND.format(r'[0-9]\[(\d+)\]')} + {_FOUND.format(r'\{{\^(\d+)\}}')}",
+    "url": _FOUND.format(text.CITATION_FAMILIES["url"]),
+}
 
-@query("""SELECT record_id, len(regexp_extract_all(coalesce(content_body, ''), '"([^"]+)"')) AS direct_quote,
- len(regexp_extract_all(coalesce(content_body, ''), '\\[(\\d+)\\]|\\((\\d+)\\)')) AS numbered_reference,
- len(regexp_extract_all(coalesce(content_body, ''), '\\(([^)]+?,\\s*\\d{4}(?:-\\d{4})?)\\)')) AS author_year,
- len(regexp_extract_all(coalesce(content_body, ''), 'https?://\\S+|www\\.\\S+')) AS url FROM index_documents""".replace("\\\\", "\\"))
+
+@query("SELECT record_id, " + ", ".join(f"{sql} AS {name}" for name, sql in _CITED.items()) + " FROM index_documents")
 def citation_counts(spark: SparkSession, base: str) -> DataFrame:
-    body = F.coalesce("content_body", F.lit(""))
-    kinds = ("direct_quote", "numbered_reference", "author_year", "url")
-    return T(spark, base, "index_documents").select("record_id", *[F.regexp_count(body, F.lit(text.CITATION_PATTERNS[k])).cast("long").alias(k) for k in kinds])
+    """Matches of all citation families."""
+    return citation_all_counts(spark, base)
 
 
 @query()
@@ -176,6 +187,14 @@ def time_range(spark: SparkSession, base: str) -> DataFrame:
     return rows.where((F.length(stamp) == 20) & stamp.like("%T%Z")).select("record_id", "doc_id")
 
 
+@query()
+def time_range_any_notation(spark: SparkSession, base: str) -> DataFrame:
+    """The same range over values in any notation, read as instants."""
+    rows = T(spark, base, "index_documents").select("record_id", "doc_id", "timestamp_utc", "source")
+    read = timestamps.normalise(rows, "timestamp_utc", "source", T(spark, base, "source_systems"))
+    return read.where(F.col("utc_micros").between(1640995200000000, 1704067199999999)).select("record_id", "doc_id", "utc_micros")
+
+
 @query("""SELECT p.doc_id, count(DISTINCT c.doc_id) AS children FROM (SELECT DISTINCT doc_id FROM index_documents) p
  JOIN index_documents c ON c.parent_id = p.doc_id GROUP BY 1""")
 def relationship_children(spark: SparkSession, base: str) -> DataFrame:
@@ -331,7 +350,10 @@ def similar_topics(spark: SparkSession, base: str) -> DataFrame:
  WHERE source IS NOT NULL AND len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0)) WHERE n > 0) GROUP BY 1, 2""")
 def mean_pooling(spark: SparkSession, base: str) -> DataFrame:
     rows = T(spark, base, "index_documents").where("source is not null").where(vector.check(F.col("embedding"), 64) == "ok")
-    return search.centroids(rows.select("source", vector.l2_normalise(F.col("embedding")).alias("v")), "source", "v").select("source", "pos", F.round("value", 6).alias("value"))
+    # the length is a column of its own: inside the rewrite of each element it would be computed for each
+    sized = rows.select("source", "embedding", vector.norm(F.col("embedding")).alias("n")).where("n > 0")
+    parts = sized.select("source", "n", F.posexplode("embedding").alias("pos", "x"))
+    return parts.groupBy("source", "pos").agg(F.round(F.avg(F.col("x").cast("double") / F.col("n")), 6).alias("value"))
 
 
 @query(f"""WITH {_bm25_sql('index_documents', 'record_id', 'content_body')},

@@ -95,3 +95,11 @@ def test_all_patterns_are_counted(spark, tmp_path):
     cited = {r.record_id: r.asDict() for r in CORE["citation_all_counts"](spark, str(tmp_path)).collect()}
     families = {"direct_quote": 2, "inline_reference": 1, "numbered_reference": 1, "author_year": 1, "footnote": 2, "url": 1}
     assert cited[1] == {"record_id": 1, **families} and cited[2] == {"record_id": 2, **dict.fromkeys(families, 0)}
+
+
+def test_time_range_reads_all_notations(spark, tmp_path):
+    rows = [(1, "a", "2022-05-01T00:00:00Z", "s"), (2, "b", "01/05/2022 10:00", "s"), (3, "c", "1651363200", None), (4, "d", "2024-05-01", "s"), (5, "e", None, "s")]
+    spark.createDataFrame(rows, "record_id long, doc_id string, timestamp_utc string, source string").write.parquet(f"{tmp_path}/index_documents.parquet")
+    spark.createDataFrame([("s", "Europe/Paris", True)], "source string, default_zone string, day_first boolean").write.parquet(f"{tmp_path}/source_systems.parquet")
+    got = {r.record_id: r.utc_micros for r in CORE["time_range_any_notation"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1651363200000000, 2: 1651392000000000, 3: 1651363200000000}
