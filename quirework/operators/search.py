@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.functions import vector
+from quirework.session import Scratch
 
 K1, B = 1.2, 0.75
 # Words that the index leaves out.
@@ -135,3 +136,23 @@ def nearest_to(queries: DataFrame, base: DataFrame, key: str, embedding: str, k:
 def centroids(df: DataFrame, label: str, embedding: str) -> DataFrame:
     """``(label, pos, value)``: the mean vector of each group, summed in each task first."""
     return df.select(label, F.posexplode(embedding).alias("pos", "x")).groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("value"))
+
+
+def topic_terms(df: DataFrame, topic: str, key: str, text: str, k: int, scratch: Scratch, least: int = 4) -> DataFrame:
+    """``(topic, term, score)``: the ``k`` terms of greatest TF-IDF of each topic.
+
+    A term's frequency is its share of the topic's terms, its weight that of the
+    smoothed inverse document frequency over all topics.  Terms under ``least``
+    letters and null topics are left out; ties go to the smaller term.
+    """
+    kept = df.where(F.col(topic).isNotNull())
+    found = kept.select(topic, key, F.explode(terms(F.col(text))).alias("term")).where(F.length("term") >= least)
+    counts = found.groupBy(topic, key, "term").agg(F.count("*").alias("n")).groupBy(topic, "term").agg(F.sum("n").alias("n"), F.count("*").alias("d"))
+    counts = scratch.save(counts)
+    docs = kept.agg(F.count("*").alias("docs"))
+    total = counts.groupBy(topic).agg(F.sum("n").alias("total"))
+    seen = counts.groupBy("term").agg(F.sum("d").alias("df"))
+    rows = counts.join(seen, "term").join(total, topic).crossJoin(F.broadcast(docs))  # one row
+    score = F.round(F.col("n") / F.col("total") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1), 9)
+    order = Window.partitionBy(topic).orderBy(F.col("score").desc(), "term")
+    return rows.withColumn("score", score).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).select(topic, "term", "score")

@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirework.functions import text
-from quirework.plans import general, pipeline, reference
+from quirework.plans import general, pipeline, reference, retrieval
 from quirework.session import Scratch, running_total
 
-CORE = {**general.QUERIES, **reference.QUERIES}
+CORE = {**general.QUERIES, **reference.QUERIES, **retrieval.QUERIES}
+SQL = {**reference.SQL, **retrieval.SQL}
 
 
 @pytest.fixture(scope="module")
@@ -30,16 +31,16 @@ def plain(value):
     return str(value)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in reference.SQL if n not in ("p1_paths", "p1_descendants")))
+@pytest.mark.parametrize("name", sorted(n for n in SQL if n not in ("p1_paths", "p1_descendants")))
 def test_query_equals_sql(spark, data, duck, name):
     got = CORE[name](spark, data)
     cols = sorted(got.columns)
-    result = duck.execute(reference.SQL[name])
+    result = duck.execute(SQL[name])
     at = [[d[0] for d in result.description].index(c) for c in cols]
     assert sorted(tuple(plain(r[c]) for c in cols) for r in got.collect()) == sorted(tuple(plain(r[i]) for i in at) for r in result.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(n for n in CORE if n not in reference.SQL))
+@pytest.mark.parametrize("name", sorted(n for n in CORE if n not in SQL))
 def test_query_runs(spark, data, name):
     assert CORE[name](spark, data).count() > 0
 
