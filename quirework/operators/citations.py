@@ -4,6 +4,7 @@ A quotation, a section name or an address is cited; the text that holds it is
 its target.  Every text is read whole and no pair of texts meets: cited texts
 and bodies are reduced to hashed grams, a cited text looks for bodies by the
 gram that the fewest of them have, and only those are searched for it.
+Repeated keys count as one text each; nulls hold nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from quirework.functions.text import CITATION_FAMILIES
 from quirework.session import Scratch, small
 
 RESOLVED = ("direct_quote", "inline_reference", "url")
-SHORT, GRAM, WINDOW = 3, 8, 17  # texts of GRAM + WINDOW - 1 characters or more are told by one gram in each window
+SHORT, GRAM, WINDOW = (1, 2, 3, 6), 8, 17  # texts of GRAM + WINDOW - 1 characters or more are told by one gram in each window
+NEEDLES = 1000  # cited texts that one body is searched for at a time
 
 
 def detected(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -58,10 +60,10 @@ def _folded(text: Column) -> Column:
 def _grams(df: DataFrame, key: str, text: str, cited: bool) -> DataFrame:
     """``(key, gram)``: the grams of a text, each once.
 
-    A body has all its grams of up to ``SHORT`` characters and the least gram of
+    A body has all its grams of the lengths ``SHORT`` and the least gram of
     ``GRAM`` characters of every window.  A cited text has the least grams of its
-    windows, or, where it is too short for one, its grams of ``SHORT`` characters
-    or of its own length.  So a body that holds it has all of its grams.
+    windows, or, where it is too short for one, its grams of the greatest of the
+    short lengths that it reaches.  So a body that holds it has all of its grams.
     """
     schema = df.select(key).withColumn("gram", F.lit(0).cast("long")).schema
 
@@ -84,8 +86,8 @@ def _grams(df: DataFrame, key: str, text: str, cited: bool) -> DataFrame:
                 if len(codes) >= GRAM + WINDOW - 1:
                     parts.append(np.lib.stride_tricks.sliding_window_view(hashed(codes, GRAM), WINDOW).min(1))
                 if not cited or not parts:
-                    sizes = (min(SHORT, len(codes)),) if cited else range(1, min(SHORT, len(codes)) + 1)
-                    parts += [hashed(codes, q) for q in sizes]
+                    sizes = [q for q in SHORT if q <= len(codes)]
+                    parts += [hashed(codes, q) for q in (sizes[-1:] if cited else sizes)]
                 own = np.unique(np.concatenate(parts))
                 found.append(own)
                 rows.append(np.full(len(own), i))
@@ -117,10 +119,15 @@ def edges(citations: DataFrame, bodies: DataFrame, key: str, text: str, scratch:
     held = scratch.save(held.join(small(scratch.save(own.select("gram").distinct())), "gram", "left_semi"))
     rare = own.join(held.groupBy("gram").agg(F.count("*").alias("n")), "gram")
     rare = rare.groupBy("cid").agg(F.min(F.struct("n", "gram")).alias("m")).select("cid", F.col("m.gram").alias("gram"))
-    met = rare.join(held, "gram").select("cid", key).join(once.select("cid", "needle", "any_case"), "cid")
-    met = met.join(bodies.select(key, F.col(text).alias("__body")), key)
-    holds = F.when(F.col("any_case"), F.contains(_folded(F.col("__body")), F.col("needle"))).otherwise(F.contains("__body", "needle"))
-    ranked = met.where(holds).select("cid", key).withColumn("nth", F.row_number().over(Window.partitionBy("cid").orderBy(key))).where("nth <= 2")
+    met = scratch.save(rare.join(held, "gram").select("cid", key).join(once.select("cid", "needle", "any_case"), "cid"))
+    # a body is read once for up to NEEDLES cited texts
+    share = met.groupBy(key).agg(F.ceil(F.count("*") / NEEDLES).alias("__parts"))
+    lots = met.join(share, key).groupBy(key, F.pmod(F.xxhash64("cid"), "__parts").alias("__part"))
+    lots = lots.agg(F.collect_list(F.struct("cid", "needle", "any_case")).alias("__asked"))
+    read = bodies.join(small(scratch.save(share.select(key))), key, "left_semi").select(key, F.col(text).alias("__body"), _folded(F.col(text)).alias("__folded"))
+    holds = lambda x: F.contains(F.when(x["any_case"], F.col("__folded")).otherwise(F.col("__body")), x["needle"])
+    met = lots.join(read, key).select(key, F.explode(F.filter("__asked", holds)).alias("x")).select(key, "x.cid").distinct()
+    ranked = met.withColumn("nth", F.row_number().over(Window.partitionBy("cid").orderBy(key))).where("nth <= 2")
     two = ranked.groupBy("cid").agg(F.min(key).alias("__one"), F.max(key).alias("__two"))
     dst = F.when(F.col("__one") != F.col(key), F.col("__one")).when(F.col("__two") != F.col(key), F.col("__two"))
     out = asked.join(two, "cid").select(F.col(key).alias("src"), dst.alias("dst"), "citation_type", "cited")
