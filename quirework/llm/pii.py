@@ -1,8 +1,9 @@
 """Personal information in free text: spans and typed placeholders.
 
 Regular expressions propose spans, validators confirm or reject them (Luhn for
-card-like digit runs, mod 97 for account numbers, area and digit counts for
-telephones, letter rules for insurance numbers), and words nearby adjust the
+card-like digit runs, mod 97 for account and French numbers, the check digit of
+German tax numbers, areas of American ones, area and digit counts for
+telephones), and words nearby adjust the
 score of a span that could also be an order number or an ordinary word.  Spans
 scoring ``THRESHOLD`` or more are kept; where two overlap, the type earlier in
 ``TYPES`` wins.
@@ -50,7 +51,7 @@ _HOME = r"0[1-9]\d{0,3}[ /-]\d{3,5}[ -]\d{2,5}(?:[ -]\d{2,4})?"
 _PAIRS = r"0[1-9](?:[ .]\d{2}){4}"
 PHONE = re.compile(rf"(?<![\w+./@-])(?:{_US}|{_PAIRS}|{_INTL}|{_HOME}|{_RUN})(?! ?\d)(?![-/]\d)(?!\w)(?: ?(?:ext\.?|x|Durchwahl|poste) ?\d{{1,5}})?")
 IDENTITY = re.compile(
-    r"(?<![\w+./@-])(?:\d{3}([-. ])\d{2}\1\d{4}|\d{2} \d{3} \d{3} \d{3}|\d{9}|\d{11}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]\d{8}"
+    r"(?<![\w+./@-])(?:\d{3}([-. ])\d{2}\1\d{4}|[12] ?\d{2} ?\d{2} ?\d[\dAB] ?\d{3} ?\d{3} ?\d{2}|\d{2} \d{3} \d{3} \d{3}|\d{9}|\d{11}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]\d{8}"
     r"|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?:\d{4}[ -]?){3}\d{1,7})(?!\w)(?![-/]\w)"
 )
 _KIND = r"(?:Street|Lane|Drive|Road|Avenue|Boulevard|Court|Way|Place|Square|Terrace|Close|Crescent|Highway|(?:St|Ave|Rd|Blvd|Ln|Dr|Ct|Pl|Sq)\b\.?)"
@@ -68,16 +69,32 @@ FOR_ID = re.compile(
     r"(?i)\b(?:ssn|social security|insurance|passe?ports?|reisepass|pass|steuer\w*|tax|tin|ausweis\w*|personalausweis|identit\w+|identity|id|ni|nino|payroll|"
     r"carte|num[ée]ro fiscal|s[ée]curit[ée] sociale|versicherung\w*|licen[cs]e|national)\b"
 )
-AGAINST_ID = re.compile(r"(?i)\b(?:rows?|count|invoice|auftrag|rechnung|commande|facture|order|part|hash|build|port|ticket|isbn|shard|lat|version|batch|serial|sku)\b")
+# words for counts, papers, places and digests, of which a number near them is one
+AGAINST_ID = re.compile(
+    r"(?i)\b(?:rows?|counts?|totals?|sum|amount|invoices?|auftrag|rechnung|commande|facture|orders?|bestellung|receipts?|parts?|items?|hash|checksum|digest|commit|build|port|ticket|issue|isbn|issn|"
+    r"shard|partition|node|lat|lon|long|latitude|longitude|coordinates?|version|release|batch|lots?|serial|sku|tracking)\b"
+)
 BEFORE_NAME = re.compile(
     r"(?:\b(?:Hi|Hello|Dear|Hallo|Liebe|Lieber|Bonjour|Cher|Chère|Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Mme|Mlle|M|Spoke with|with|by|from|From|candidate|Applicant|owner|backup|ask for|"
     r"for|ship to|contacter|Ansprechpartner ist|Rückfragen|Contact|contact|as|of|cc|regards|Grüße|Cordialement)\b[.:,]?)\s*$"
 )
+# What people do, in general: verbs of saying, judging, moving and having to; in German and French the
+# perfect as well, which takes a determiner or a participle behind the auxiliary.
 AFTER_NAME = re.compile(
-    r"\s*(?:[<(|;/]|wrote:|asked\b|pointed\b|reviewed\b|a relu\b|habite\b|wohnt\b|hat den\b|moved to\b|never saw\b|has to\b|needs to\b|said\b|schrieb\b|a écrit\b|, thanks\b|,? tax\b|, Telefon\b|au \+?\d)"
+    r"\s*[<(|;/]|,? (?:thanks|merci|danke)\b|,? (?:tax|tel|phone|telefon|t[ée]l)\b|\s+au \+?\d"
+    r"|\s+(?:(?:also|already|always|just|never|often|still|then) )?(?:wrote|writes|said|says|asked|asks|told|tells|replied|answered|agreed|confirmed|promised|suggested|explained|added|noted|mentioned|"
+    r"pointed out|reviewed|approved|signed|called|phoned|joined|left|met|saw|read|knew|knows|thinks|thought|wants|wanted|needs to|has to|had to|moved to|lives|lived|works|worked)\b"
+    r"|\s+(?:schrieb|sagte|fragte|meinte|antwortete|erkl[äa]rte|wohnt|arbeitet|muss|soll|m[öo]chte)\b|\s+hat (?:den|die|das|dem|der|ein\w*|uns|mir|ihn|sie|es|sich|nicht|schon|gestern|heute)\b"
+    r"|\s+(?:habite|travaille|pense|veut|doit)\b|\s+(?:a|est) (?:(?:bien|d[ée]j[àa]|pas) )?\w{2,}(?:[ée]|i|u|it|is)e?\b",
+    re.I,
 )
 AFTER_TITLE = re.compile(r"(?:, [\w-]+(?: [A-Z]\.)?)?\s+(?:a|est|habite|va|doit|peut|veut|n'|ne|devra|viendra)\b")
-NOT_A_NAME = re.compile(r"\s+(?:team|service|manual|building|release|project|sync|ops|street|lane|road|avenue|drive|court|price|curve|bay|bays)\b", re.I)
+# nouns that make an ordinary word before them the name of a thing, a group, a place or a way
+NOT_A_NAME = re.compile(
+    r"\s+(?:teams?|services?|manuals?|buildings?|releases?|projects?|sync|ops|systems?|apps?|tools?|groups?|press|price|prices|curves?|charts?|tables?|lists?|files?|reports?|plans?|models?|"
+    r"bays?|islands?|valleys?|bridges?|stations?|rooms?|halls?|street|lane|road|avenue|drive|court|square|place)\b",
+    re.I,
+)
 ARTICLE = re.compile(r"\b(?:the|The|a|A|an|Project|project|der|die|das|le|la)\s+$")
 
 
@@ -94,6 +111,30 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def french_number(shown: str) -> bool:
+    """Thirteen characters of a French social-security number and the key that completes them to 97."""
+    if len(shown) != 15 or not re.fullmatch(r"[12]\d{5}[\dAB]\d{8}", shown):
+        return False
+    body = shown[:13].replace("2A", "19").replace("2B", "18") if shown[5:7] in ("2A", "2B") else shown[:13]
+    return body.isdigit() and 97 - int(body) % 97 == int(shown[13:])
+
+
+def german_tax(digits: str) -> bool:
+    """Eleven digits, the last of which checks the others (mod 11, 10)."""
+    if len(digits) != 11 or not digits.isdigit() or digits[0] == "0":
+        return False
+    product = 10
+    for c in digits[:10]:
+        total = (int(c) + product) % 10 or 10
+        product = total * 2 % 11
+    return (11 - product) % 10 == int(digits[10])
+
+
+def us_number(digits: str) -> bool:
+    """Nine digits without an area, group or serial of zeros and without area 666."""
+    return digits[:3] not in ("000", "666") and digits[3:5] != "00" and digits[5:] != "0000"
+
+
 def endings(names: Iterable[str]) -> set[tuple[str, str]]:
     """(stem, ending) pairs whose parts each recur in the list, closed under recombination."""
     pairs = {(n[:-k], n[-k:]) for n in names for k in (2, 3, 4) if len(n) - k >= 2 and n.isalpha()}
@@ -195,7 +236,13 @@ class Finder:
         before = text[max(0, m.start() - CONTEXT) : m.start()]
         before = re.split(r"[.!?;]\s|\n", before.replace("no. ", "no "))[-1]
         score = 0.5
-        if bare.isdigit() and len(bare) >= 13:
+        if m.group(1) and not us_number(bare):
+            score = 0.0
+        elif french_number(bare):
+            score = 0.7
+        elif german_tax(bare):
+            score = 0.5
+        elif bare.isdigit() and len(bare) >= 13:
             score = 0.35 if luhn(bare) else 0.0
         elif re.match(r"[A-Z]{2}\d{2}", bare) and len(bare) >= 15:
             score = 0.6 if mod97(bare) else 0.0

@@ -66,3 +66,24 @@ def test_frames(spark):
     assert [r.redacted for r in out.orderBy("record_id").collect()] == ["Hi [NAME], mail [EMAIL]"] * 2 + [None, "", "nothing"]
     assert pii.spans(df.limit(0), "record_id", "body", names).count() == 0
     assert [r.pii_type for r in pii.spans(df.limit(1), "record_id", "body", names.limit(0)).collect()] == ["email"]
+
+
+def test_numbers_by_kind():
+    assert pii.french_number("269054958815780") and not pii.french_number("269054958815781") and not pii.french_number("2690549588157")
+    key = 97 - int("1910319001123") % 97
+    assert pii.french_number(f"191032A001123{key:02d}") and not pii.french_number(f"191032A001123{key - 1:02d}")
+    assert pii.german_tax("86095742719") and not pii.german_tax("86095742718") and not pii.german_tax("06095742719")
+    assert found("Dossier 2 69 05 49 588 157 80, clos") == [("id_number", "2 69 05 49 588 157 80")]
+    assert found("Dossier 269054958815780, clos") == [("id_number", "269054958815780")] and found("Dossier 269054958815781, clos") == []
+    assert found("noted 86095742719 there") == [("id_number", "86095742719")] and found("noted 86095742718 there") == []
+    for text in ("SSN 000-12-3456", "SSN 666-12-3456", "SSN 123-00-3456", "SSN 123-45-0000"):
+        assert found(text) == []
+    assert found("SSN 123-45-6789") == [("id_number", "123-45-6789")]
+
+
+def test_ordinary_words_by_what_people_do():
+    """A word of the name list that is an ordinary word too, in sentences of no table."""
+    for text in ("Stone promised a second round.", "Stone never left the office", "Stone hat sich gestern gemeldet", "Stone erklärte den Plan", "Stone a bien reçu la lettre", "Stone est arrivé hier", "Kind regards, Stone"):
+        assert ("name", "Stone") in found(text), text
+    for text in ("Stone islands are rare", "The Stone curve rises", "Stone reports are due", "a Stone wall", "Stone is grey", "Will anyone come?", "Latitude 123456789", "checksum 123456789", "receipt 123-456-789"):
+        assert found(text) == [], text
