@@ -54,6 +54,12 @@ def _sizes(spark: SparkSession, base: str) -> DataFrame:
     return tokens.sized(read_table(spark, base, "documents").select("doc_id", "text"), "text")
 
 
+def token_chunks(spark: SparkSession, base: str) -> DataFrame:
+    """Windows of 512 tokens with 50 shared, of every text."""
+    cut = tokens.chunks(read_table(spark, base, "documents"), "doc_id", "text")
+    return cut.select("doc_id", "pos", "n_tokens", F.md5("chunk").alias("chunk_hash"))
+
+
 def p6_assignments(spark: SparkSession, base: str) -> DataFrame:
     scratch = Scratch(spark, "packing")
     return packing.pack(scratch.save(_sizes(spark, base)), read_table(spark, base, "pack_profiles"), scratch)
@@ -107,6 +113,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
     "p5_quality": p5_quality,
+    "token_chunks": token_chunks,
     "p6_assignments": p6_assignments,
     "p6_report": p6_report,
     "p7_mix": p7_mix,

@@ -75,3 +75,35 @@ def sized(df: DataFrame, text: str, out: str = "tokens", path: str = TOKENIZER_F
 
     source = df.select(*kept, F.col(text).alias("__text"))
     return source.mapInArrow(run, df.select(*kept).withColumn(out, F.lit(0).cast("long")).schema)
+
+
+def encoded(text: str | None, path: str = TOKENIZER_FILE) -> list[int]:
+    """The tokens of a text, none for null."""
+    return [t for part in parts(text) for t in encoder(path).encode_ordinary(part)] if text else []
+
+
+def chunks(df: DataFrame, key: str, text: str, size: int = 512, overlap: int = 50, path: str = TOKENIZER_FILE) -> DataFrame:
+    """``(key, pos, n_tokens, chunk)``: windows of ``size`` tokens, each ``size - overlap`` after the last.
+
+    The tail window is given out even where it lies inside the one before.  A
+    window that begins or ends within a character shows the replacement character
+    there.  Null and empty texts have no chunk; repeated rows repeat theirs.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be at least 0 and below size")
+    schema = df.select(key).withColumns({"pos": F.lit(0), "n_tokens": F.lit(0), "chunk": F.lit("")}).schema
+
+    def run(batches: Iterator) -> Iterator:
+        enc = encoder(path)
+        for batch in batches:
+            for i, body in enumerate(batch.column(1).to_pylist()):
+                all_ = encoded(body, path)
+                cut = [all_[at : at + size] for at in range(0, len(all_), size - overlap)]
+                if not cut:
+                    continue
+                shown = pa.array([enc.decode(c) for c in cut], pa.string())
+                sizes = pa.array([len(c) for c in cut], pa.int32())
+                keys = batch.column(0).take(pa.array([i] * len(cut), pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(range(len(cut)), pa.int32()), sizes, shown], names=schema.names)
+
+    return df.select(key, text).where(F.length(text) > 0).mapInArrow(run, schema)

@@ -166,3 +166,21 @@ def test_packing_of_a_frequent_length(spark, monkeypatch):
         part = got[got.profile == name]
         assert part.groupby("doc_id").tokens.sum().to_dict() == dict(rows) and not part.duplicated(["doc_id", "piece"]).any()
         assert part.groupby("container").tokens.sum().max() <= capacity
+
+
+def test_token_chunks(spark):
+    long = "Größe ändern 📎 and more words, " * 400
+    rows = [(1, long, 7), (1, long, 7), (2, "short", 7), (3, None, 7), (4, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pos int")
+    got = tokens.chunks(df, "doc_id", "text", 64, 0).collect()
+    assert {r.doc_id for r in got} == {1, 2}
+    whole = tokens.encoded(long)
+    mine = sorted({(r.pos, r.n_tokens, r.chunk) for r in got if r.doc_id == 1})
+    assert [n for _, n, _ in mine] == [len(whole[at : at + 64]) for at in range(0, len(whole), 64)] and len(mine) * 2 + 1 == len(got)
+    assert all(c == tokens.encoder().decode(whole[p * 64 : p * 64 + 64]) for p, _, c in mine)
+    assert len(tokens.encoded(long * 40)) == tokens.count(long * 40)
+    overlapping = [r.n_tokens for r in tokens.chunks(df.where("doc_id = 2").limit(1), "doc_id", "text", 2, 1).collect()]
+    assert sum(overlapping) >= len(tokens.encoded("short"))
+    assert tokens.chunks(df.limit(0), "doc_id", "text").count() == 0
+    with pytest.raises(ValueError):
+        tokens.chunks(df, "doc_id", "text", 5, 5)
