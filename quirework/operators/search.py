@@ -156,3 +156,30 @@ def topic_terms(df: DataFrame, topic: str, key: str, text: str, k: int, scratch:
     score = F.round(F.col("n") / F.col("total") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1), 9)
     order = Window.partitionBy(topic).orderBy(F.col("score").desc(), "term")
     return rows.withColumn("score", score).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).select(topic, "term", "score")
+
+
+def elbow(df: DataFrame, embedding: str, most: int, least_size: int, seed: int = 42) -> DataFrame:
+    """``(k, cost, chosen)`` for k from 1 to ``most``, or to as many as leave ``least_size`` rows each.
+
+    ``chosen`` marks the k before the largest fall of the cost (the sum of squared
+    distances to the centres); a single k is chosen itself.  Null vectors are left
+    out; no vectors give no rows.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.where(F.col(embedding).isNotNull()).select(array_to_vector(F.col(embedding).cast("array<double>")).alias("features"))
+    rows = rows.cache()
+    n = rows.count()
+    costs = []
+    if n:
+        from pyspark.ml.stat import Summarizer
+
+        spread = rows.select(Summarizer.metrics("variance").summary(F.col("features")).alias("s")).select("s.variance").first()[0]
+        costs.append(float(sum(spread)) * (n - 1))
+        for k in range(2, max(1, min(most, n // least_size)) + 1):
+            costs.append(KMeans(k=k, seed=seed, maxIter=20).fit(rows).summary.trainingCost)
+    rows.unpersist()
+    falls = [b - a for a, b in zip(costs, costs[1:])]
+    best = falls.index(min(falls)) + 1 if falls else 1
+    return df.sparkSession.createDataFrame([(k, c, k == best) for k, c in enumerate(costs, 1)], "k int, cost double, chosen boolean")

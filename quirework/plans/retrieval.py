@@ -345,3 +345,55 @@ def nested_shape(spark: SparkSession, base: str) -> DataFrame:
     json = F.to_json(F.struct("record_id", "metadata"), {"ignoreNullFields": "false"})
     depth, fields = appends.json_shape(json)
     return T(spark, base, "lineage").select("record_id", depth.cast("int").alias("depth"), fields.cast("long").alias("fields"))
+
+
+@query(f"""WITH {reference._EDGES}, p AS (SELECT parent IN (SELECT id FROM known) AS hp, child IN (SELECT id FROM known) AS hc, parent = child AS own, told_by <> 'both' AS one FROM edges)
+ SELECT count(*) AS edges, count(*) FILTER (NOT hp) AS parent_missing, count(*) FILTER (NOT hc) AS child_missing, count(*) FILTER (own) AS self_links, count(*) FILTER (one) AS one_sided FROM p""")
+def reference_health(spark: SparkSession, base: str) -> DataFrame:
+    """Counts of links and of each kind of broken link."""
+    rows = T(spark, base, "lineage")
+    edges = Scratch(spark, "health").save(references.lineage_edges(rows))
+    problems = references.integrity(edges, rows, "doc_id").agg(
+        *[F.count_if(F.col("problem") == p).alias(n) for p, n in (("parent_missing",) * 2, ("child_missing",) * 2, ("self_link", "self_links"), ("one_sided",) * 2)]
+    )
+    return edges.agg(F.count("*").alias("edges")).crossJoin(problems)  # one row each
+
+
+@query(f"""WITH RECURSIVE {reference._TREE}, top AS (SELECT doc, anc AS thread FROM reach WHERE anc NOT IN (SELECT child FROM tree)), dep AS (SELECT doc, count(*) AS depth FROM reach GROUP BY doc),
+ seen AS (SELECT {reference._key_sql('doc_id')} AS doc, max(last_modified) AS newest FROM lineage GROUP BY 1)
+ SELECT thread, count(*) AS messages, CAST(max(depth) AS INTEGER) AS deepest, max(newest) AS newest FROM top JOIN dep USING (doc) JOIN seen USING (doc) WHERE depth <= 50 GROUP BY thread""")
+def threads(spark: SparkSession, base: str) -> DataFrame:
+    """Each hierarchy as a thread of replies: those up to fifty deep, and the newest of them."""
+    found = general.p1_found(spark, base).where(F.col("depth").between(1, 50))
+    seen = T(spark, base, "lineage").groupBy(hierarchy.uuid_key(F.col("doc_id")).alias("doc_id")).agg(F.max("last_modified").alias("newest"))
+    return found.join(seen, "doc_id").groupBy(F.col("root_id").alias("thread")).agg(F.count("*").alias("messages"), F.max("depth").alias("deepest"), F.max("newest").alias("newest"))
+
+
+@query(f"""WITH {FACTS} SELECT DISTINCT source, epoch_us(date_trunc('month', ts)) AS us FROM facts WHERE source IS NOT NULL AND epoch_us(date_trunc('month', ts)) BETWEEN 1640995200000000 AND 1672531200000000""")
+def tags_between(spark: SparkSession, base: str) -> DataFrame:
+    """Monthly tags of each source in a time range, both ends included."""
+    us = F.unix_micros(F.date_trunc("month", "ts"))
+    rows = T(spark, base, "processing_steps").where("source is not null").select("source", us.alias("us"))
+    return rows.where(F.col("us").between(1640995200000000, 1672531200000000)).distinct()
+
+
+@query("SELECT record_id, doc_id, content_title, md5(content_body) AS body_hash FROM index_documents WHERE doc_id = (SELECT min(doc_id) FROM lineage) OR record_id = 7")
+def point_lookup(spark: SparkSession, base: str) -> DataFrame:
+    """The records of one document, and one record, by their ids."""
+    asked = T(spark, base, "lineage").agg(F.min("doc_id")).first()[0]
+    rows = T(spark, base, "index_documents").where((F.col("doc_id") == F.lit(asked)) | (F.col("record_id") == 7))
+    return rows.select("record_id", "doc_id", "content_title", F.md5("content_body").alias("body_hash"))
+
+
+@query("""SELECT record_id, item, last_modified FROM (SELECT record_id, last_modified, metadata['type'] AS type, unnest(derived_documents) AS item FROM lineage)
+ WHERE type = 'docx' AND last_modified < '2023-01-01T00:00:00Z' AND item IS NOT NULL""")
+def nested_items(spark: SparkSession, base: str) -> DataFrame:
+    """Entries of a nested list of the rows of one type that are older than a day."""
+    rows = T(spark, base, "lineage").where((F.col("metadata")["type"] == "docx") & (F.col("last_modified") < "2023-01-01T00:00:00Z"))
+    return rows.select("record_id", F.explode("derived_documents").alias("item"), "last_modified").where("item is not null")
+
+
+@query()
+def topic_elbow(spark: SparkSession, base: str) -> DataFrame:
+    """The number of topics before the largest fall of the spread, and the spread of each number tried."""
+    return search.elbow(T(spark, base, "embeddings"), "embedding", 8, 50)

@@ -139,3 +139,12 @@ def test_merges_bounds_and_labels(spark):
     got = {(r.source, r.term) for r in search.topic_terms(texts, "source", "id", "body", 1, Scratch(spark, "t")).collect()}
     assert got == {("s", "apple"), ("t", "pear")}
     assert search.topic_terms(texts.limit(0), "source", "id", "body", 1, Scratch(spark, "t")).count() == 0
+
+
+def test_elbow(spark):
+    rng = random.Random(3)
+    rows = [([c * 10 + rng.random(), rng.random()],) for c in (0, 1) for _ in range(60)] + [(None,)]
+    df = spark.createDataFrame(rows, "v array<float>")
+    got = search.elbow(df, "v", 4, 20).orderBy("k").collect()
+    assert [r.k for r in got] == [1, 2, 3, 4] and [r.k for r in got if r.chosen] == [1] and got[0].cost > 10 * got[1].cost
+    assert search.elbow(df.limit(0), "v", 4, 20).count() == 0
