@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirework.session import Scratch, running_total, small
+
 DONE = ("success", "completed")
 BAD = ("failed", "error")
 ACTIVE = ("in_progress", "running")
@@ -104,17 +106,86 @@ def health(steps: DataFrame, group: str) -> DataFrame:
     return m.select(group, "documents", "failed", F.round("failed_share", 6).alias("failed_share"), name.alias("status"), "severity")
 
 
-def performance(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Count, least, greatest, mean, population deviation and interpolated percentiles per group."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = df.where(F.col(value).isNotNull()).groupBy(group).agg(
-        F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), p.alias("p")
+def performance(df: DataFrame, group: str, value: str, scratch: Scratch) -> DataFrame:
+    """Count, least, greatest, mean, population deviation and interpolated percentiles per group.
+
+    Percentiles are exact: equal values are counted first, a running total over
+    the sorted values gives their ranks, and each percentile lies between the
+    values of two ranks.  So no task holds the values of a group, whatever their
+    number.  Null values do not count, null groups are a group.
+    """
+    given = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counts = scratch.save(given.groupBy(group, value).agg(F.count("*").alias("__n")))
+    x, n = F.col(value).cast("double"), F.col("__n")
+    total = counts.groupBy(F.col(group).alias("__g")).agg(F.sum("__n").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), (F.sum(x * n) / F.sum("__n")).alias("mean"))
+    ranked = scratch.save(running_total(counts, [group, value], n, "__rank", scratch))
+    start = ranked.groupBy(F.col(group).alias("__s")).agg(F.min("__rank").alias("__start"))
+    total = scratch.save(total.join(start, F.col("__g").eqNullSafe(F.col("__s"))).drop("__s"))
+    rows = ranked.join(small(total), F.col(group).eqNullSafe(F.col("__g")))
+    first = F.col("__rank") - F.col("__start")
+    at = lambda rank: F.max(F.when((first <= rank) & (rank < first + n), x))
+
+    def percentile(q: float) -> Column:
+        place = (F.col("n") - 1) * F.lit(q)
+        below, above = at(F.floor(place)), at(F.ceil(place))
+        return below + (above - below) * (F.max(place) - F.floor(F.max(place)))
+
+    out = rows.groupBy("__g").agg(
+        *[F.max(c).alias(c) for c in ("n", "lo", "hi", "mean")],
+        F.sqrt(F.sum((x - F.col("mean")) * (x - F.col("mean")) * n) / F.max("n")).alias("deviation"),
+        *[percentile(q).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)],
     )
-    r = lambda c: F.round(c, 4)
-    return out.select(
-        group, "n", r("lo").alias("lo"), r("hi").alias("hi"), r("mean").alias("mean"), r("deviation").alias("deviation"),
-        r(F.col("p")[0]).alias("p50"), r(F.col("p")[1]).alias("p95"), r(F.col("p")[2]).alias("p99"),
+    return out.select(F.col("__g").alias(group), "n", *[F.round(c, 4).alias(c) for c in ("lo", "hi", "mean", "deviation", "p50", "p95", "p99")])
+
+
+def recent_status(steps: DataFrame, seconds: int) -> DataFrame:
+    """One row: documents, steps, failed and active ones, of all times and (``recent_``) of the last ``seconds`` before the last step.
+
+    Steps without a time are left out.  Documents are counted from one row per document.
+    """
+    rows = facts(steps.where("ts is not null")).withColumn("us", _micros())
+    end = steps.agg(F.max(_micros()).alias("end"))
+    late = F.col("us") >= F.col("end") - seconds * 1000000
+    bad, active = F.col("status").isin(*BAD), F.col("status").isin(*ACTIVE)
+    kinds = {"steps": F.lit(True), "failed": bad, "active": active}
+    per = rows.crossJoin(F.broadcast(end)).groupBy("doc_id").agg(  # one row
+        *[F.count_if(c).alias(n) for n, c in kinds.items()], *[F.count_if(c & late).alias(f"recent_{n}") for n, c in kinds.items()]
+    )
+    known = F.col("doc_id").isNotNull()
+    sums = [F.coalesce(F.sum(p + n), F.lit(0)).alias(p + n) for p in ("", "recent_") for n in kinds]
+    return per.agg(F.count_if(known).alias("documents"), F.count_if(known & (F.col("recent_steps") > 0)).alias("recent_documents"), *sums)
+
+
+def progress(df: DataFrame, group: str, batch: str, us: str) -> DataFrame:
+    """Per group: batches, items, failed ones, percent done, microseconds of a batch (mean rounded down) and items a second of timed batches.
+
+    ``us`` is a whole number; a batch without any is not timed.
+    """
+    per = df.groupBy(group, batch).agg(F.count("*").alias("items"), F.count_if(F.col("status").isin(*BAD)).alias("failed"), F.sum(us).alias("us"))
+    timed = F.sum(F.when(F.col("us").isNotNull(), F.col("items")))
+    out = per.groupBy(group).agg(
+        F.count("*").alias("batches"), F.sum("items").alias("items"), F.sum("failed").alias("failed"), F.min("us").alias("fastest_us"),
+        F.max("us").alias("slowest_us"), F.sum("us").alias("us"), F.count("us").alias("timed"), timed.alias("timed_items"),
     )
+    return out.select(
+        group,
+        "batches",
+        "items",
+        "failed",
+        F.round(100 * (F.col("items") - F.col("failed")) / F.col("items"), 2).alias("percent_done"),
+        "fastest_us",
+        "slowest_us",
+        F.floor(F.try_divide("us", "timed")).alias("mean_us"),
+        F.round(F.try_divide(F.col("timed_items") * 1000000.0, "us"), 6).alias("items_per_second"),
+    )
+
+
+def error_summary(steps: DataFrame) -> DataFrame:
+    """``(step_name, report)``: failures of a kind of step and of its states, as text."""
+    kinds = facts(steps).where(F.col("status").isin(*BAD) & F.col("step_name").isNotNull()).groupBy("step_name", "status").agg(F.count("*").alias("n"))
+    part = F.concat_ws(" ", "status", F.col("n").cast("string"))
+    parts = F.array_join(F.sort_array(F.collect_list(part)), ", ")  # as many as there are states
+    return kinds.groupBy("step_name").agg(F.format_string("%s: %d (%s)", F.col("step_name"), F.sum("n"), parts).alias("report"))
 
 
 def operation_times(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -224,6 +295,19 @@ def as_of(events: DataFrame, changes: DataFrame, key: str, ts: str, bucket: int
     return out.where("kind = 1").select(key, ts, *cols, F.col("last").alias("change"))
 
 
+def change_log(changes: DataFrame, key: str, start: int | None = None, end: int | None = None, tags: DataFrame | None = None) -> DataFrame:
+    """``changes(key, us, change)`` from ``start`` to ``end``, both included; with ``tags(key, us)`` only those that a tag points to.
+
+    A tag points to the last change at or before it.
+    """
+    out = changes
+    if tags is not None:
+        named = changes.withColumn("change", F.struct("us", "change"))
+        out = as_of(tags, named, key, "us").where("change is not null").select(key, "change.us", "change.change").distinct()
+    out = out if start is None else out.where(F.col("us") >= start)
+    return out if end is None else out.where(F.col("us") <= end)
+
+
 def cooled(alerts: DataFrame, key: str, seconds: str, order: str, cooldown: int = COOLDOWN) -> DataFrame:
     """Alerts that are sent: none within ``cooldown`` seconds of the last sent one of the same key.
 

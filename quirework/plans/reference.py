@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirework.functions import text, vector
 from quirework.operators import chunking, documents, redaction, references, search, steps, timestamps
 from quirework.plans import pipeline
-from quirework.session import read_table
+from quirework.session import Scratch, read_table
 from quirework.sources.files import log_status
 from quirework.streaming import streams
 
@@ -544,7 +544,7 @@ def health_status(spark: SparkSession, base: str) -> DataFrame:
  round(quantile_cont(duration_ms, 0.5), 4) AS p50, round(quantile_cont(duration_ms, 0.95), 4) AS p95, round(quantile_cont(duration_ms, 0.99), 4) AS p99
  FROM processing_steps WHERE duration_ms IS NOT NULL GROUP BY step_name""")
 def performance_summary(spark: SparkSession, base: str) -> DataFrame:
-    return steps.performance(T(spark, base, "processing_steps"), "step_name", "duration_ms")
+    return steps.performance(T(spark, base, "processing_steps"), "step_name", "duration_ms", Scratch(spark, "performance"))
 
 
 @query("SELECT event_type, count(*) AS calls, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, max(value) AS slowest, min(value) AS fastest FROM events GROUP BY event_type")

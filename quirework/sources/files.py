@@ -54,6 +54,12 @@ def decoded(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
+def text_documents(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
+    """``(path, title, body, error)`` of plain texts in UTF-8 or Latin-1, the title being the file name; Spark's binary reader gives no row for an empty file."""
+    rows = files(spark, folder, pattern)
+    return rows.select("path", F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("title"), decoded(F.col("content")).alias("body"), F.lit(None).cast("string").alias("error"))
+
+
 def csv_tree(spark: SparkSession, folder: str) -> DataFrame:
     """The rows of all ``*.csv`` below ``folder`` but ``*_all.csv``, all columns as text, with ``source_path``.
 
@@ -297,3 +303,19 @@ def save(df: DataFrame, path: str, by: str | None = None, mode: str = "append")
 
 def save_json_lines(df: DataFrame, path: str, per_file: int = 1_000_000) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").option("maxRecordsPerFile", per_file).text(path)
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines in the columns of ``schema``, with ``corrupt``: the text of a line that does not parse, whose columns are null."""
+    return spark.read.schema(f"{schema}, corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").json(path)
+
+
+def save_history(rows: DataFrame, path: str) -> None:
+    """Appends changes or tags, partitioned by ``source_type``."""
+    save(rows, path, "source_type")
+
+
+def read_history(spark: SparkSession, path: str, source_type: str, source_id: str | None = None) -> DataFrame:
+    """The stored changes or tags of a type of source, or of one source; only that type's folder is read."""
+    rows = spark.read.parquet(path).where(F.col("source_type") == source_type)
+    return rows if source_id is None else rows.where(F.col("source_id") == source_id)

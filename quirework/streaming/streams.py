@@ -48,6 +48,19 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", late
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def matched(left: DataFrame, right: DataFrame, key: str, within: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Events of ``left(key, ts, ...)`` with those of ``right(key, other_ts, ...)`` of the same key at most ``within`` later (an extension).
+
+    Both sides have a watermark, so state older than ``within`` and ``late``
+    together is dropped.  The names of other columns must differ; null keys and
+    times match nothing.
+    """
+    a = left.withWatermark("ts", late)
+    b = right.withColumnRenamed(key, "__key").withWatermark("other_ts", late)
+    near = (F.col("other_ts") >= F.col("ts")) & (F.col("other_ts") <= F.col("ts") + F.expr(f"interval {within}"))
+    return a.join(b, (F.col(key) == F.col("__key")) & near).drop("__key")
+
+
 def threshold_alerts(metrics: DataFrame, value: Column, warning: float, critical: float) -> DataFrame:
     """Rows at or above a threshold, with ``severity`` and the channels that severity is sent to."""
     severity = F.when(value >= critical, "critical").when(value >= warning, "warning")
@@ -55,16 +68,21 @@ def threshold_alerts(metrics: DataFrame, value: Column, warning: float, critical
     return metrics.withColumn("severity", severity).where("severity is not null").withColumn("channels", channels)
 
 
-def cooled(alerts: DataFrame, cooldown: int = COOLDOWN) -> DataFrame:
+def cooled(alerts: DataFrame, cooldown: int = COOLDOWN, late: str = "1 hour") -> DataFrame:
     """``(key, seconds, message)`` of the alerts that are sent.
 
     The state of a key is the time of its last sent alert, one number; within a
-    micro-batch its alerts are taken in order of time.
+    micro-batch its alerts are taken in order of time.  The state goes once the watermark,
+    ``late`` behind the newest alert, has passed the cooldown; alerts older than
+    the watermark are dropped.
     """
 
     def send(key, frames: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(["seconds", "message"])
         last = state.get[0] if state.exists else None
         kept = []
@@ -73,10 +91,13 @@ def cooled(alerts: DataFrame, cooldown: int = COOLDOWN) -> DataFrame:
                 kept.append(i)
                 last = int(t)
         state.update((last,))
-        yield rows.iloc[kept]
+        state.setTimeoutTimestamp(max((last + cooldown) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows.iloc[kept][["key", "seconds", "message"]]
 
-    rows = alerts.select("key", "seconds", "message")
-    return rows.groupBy("key").applyInPandasWithState(send, "key string, seconds long, message string", "last long", "append", GroupStateTimeout.NoTimeout)
+    rows = alerts.select("key", "seconds", "message", F.timestamp_seconds("seconds").alias("at")).withWatermark("at", late)
+    return rows.groupBy("key").applyInPandasWithState(
+        send, "key string, seconds long, message string", "last long", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -9,11 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirework.functions import text
-from quirework.plans import general, pipeline, reference, retrieval
+from quirework.plans import general, pipeline, records, reference, retrieval
 from quirework.session import Scratch, running_total
 
-CORE = {**general.QUERIES, **reference.QUERIES, **retrieval.QUERIES}
-SQL = {**reference.SQL, **retrieval.SQL}
+CORE = {**general.QUERIES, **reference.QUERIES, **retrieval.QUERIES, **records.QUERIES}
+SQL = {**reference.SQL, **retrieval.SQL, **records.SQL}
 
 
 @pytest.fixture(scope="module")
