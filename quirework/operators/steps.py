@@ -20,6 +20,7 @@ ACTIVE = ("in_progress", "running")
 # Shares of failed documents from which health is critical or a warning.
 CRITICAL_SHARE, WARNING_SHARE = 0.1, 0.05
 COOLDOWN = 300
+LONGEST_SPAN = 1 << 20  # seconds whose alerts one task takes in order
 
 
 def facts(steps: DataFrame) -> DataFrame:
@@ -309,39 +310,65 @@ def change_log(changes: DataFrame, key: str, start: int | None = None, end: int
 
 
 def cooled(alerts: DataFrame, key: str, seconds: str, order: str, cooldown: int = COOLDOWN) -> DataFrame:
-    """Alerts that are sent: none within ``cooldown`` seconds of the last sent one of the same key.
-
-    Suppressed alerts do not extend the cooldown.  A gap of ``cooldown`` or more
-    before an alert means that it is sent whatever came before, so the run of a
-    key is first cut at such gaps; the pieces, not the keys, are folded in Python.
-    Null keys and times are no alerts.
+    """Alerts that are sent: none within ``cooldown`` (above 0) seconds of the last sent one of the same key.
+
+    Suppressed alerts do not extend the cooldown; of alerts of one second the
+    least ``order`` is sent.  The distinct seconds of a key are cut into spans of
+    several cooldowns, and each is a task's work of its own: the alert sent first
+    in a span decides all others in it, and it lies within the first cooldown of
+    the span or is the next one after it.  So a span is first reduced to the last
+    sent alert for each of these; these few rows are chained along the spans of a
+    key; then each span gives the alerts sent from its first one on.  Null keys
+    and times are no alerts.
     """
     rows = alerts.where(F.col(key).isNotNull() & F.col(seconds).isNotNull())
-    bucket = F.floor(F.col(seconds) / (64 * cooldown))
-    inside = Window.partitionBy(key, "__bucket").orderBy(seconds, order)
-    rows = rows.withColumn("__bucket", bucket)
-    ends = rows.groupBy(key, "__bucket").agg(F.max(seconds).alias("__end"))
-    past = ends.select(key, "__bucket", F.lag("__end").over(Window.partitionBy(key).orderBy("__bucket")).alias("__past"))
-    rows = rows.withColumn("__lag", F.lag(seconds).over(inside)).join(past, [key, "__bucket"])
-    gap = F.col(seconds) - F.coalesce("__lag", "__past")
-    cut = rows.withColumn("__cut", F.when(gap.isNull() | (gap >= cooldown), F.col(seconds))).drop("__bucket", "__lag", "__past")
-    # a piece is named by the time of its first alert
-    pieces = carried(cut, key, bucket, [seconds], "__cut", "__piece").drop("__cut")
-    schema = alerts.schema
-
-    def fold(batches: Iterator) -> Iterator:
+    span = max(cooldown, min(64 * cooldown, LONGEST_SPAN))
+    times = rows.select(F.col(key).alias("k"), F.floor(F.col(seconds) / span).alias("b"), F.col(seconds).alias("t")).distinct()
+    kinds = {c: times.schema[c].dataType.simpleString() for c in ("k", "b", "t")}
+
+    def ends(table):
+        import numpy as np
         import pyarrow as pa
 
-        current, last = None, None
+        table = table.sort_by("t")
+        t = table.column("t").to_numpy()
+        nxt = np.searchsorted(t, t + cooldown)
+        end = np.where(nxt < len(t), nxt, np.arange(len(t)))
+        while (end[end] != end).any():
+            end = end[end]
+        n = min(len(t), int(np.searchsorted(t, table.column("b")[0].as_py() * span + cooldown)) + 1)
+        return table.slice(0, n).select(["k", "b", "t"]).append_column("end", pa.array(t[end[:n]]))
+
+    def chain(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        current = done = last = None
         for batch in batches:
-            keys = batch.column(batch.schema.get_field_index(key)).to_pylist()
-            parts = batch.column(batch.schema.get_field_index("__piece")).to_pylist()
-            times = batch.column(batch.schema.get_field_index(seconds)).to_pylist()
-            sent = []
-            for i, (k, p, t) in enumerate(zip(keys, parts, times)):
-                if (k, p) != current or t - last >= cooldown:
-                    current, last = (k, p), t
-                    sent.append(i)
-            yield batch.select([f.name for f in schema.fields]).take(pa.array(sent, pa.int64()))
-
-    return pieces.repartition(key, "__piece").sortWithinPartitions(key, "__piece", seconds, order).mapInArrow(fold, schema)
+            kept = []
+            for i, (k, b, t, end) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("k", "b", "t", "end")])):
+                if k != current:
+                    current, done, last = k, None, None
+                if b != done and (last is None or t - last >= cooldown):
+                    done, last = b, end
+                    kept.append(i)
+            yield batch.select(["k", "b", "t"]).take(pa.array(kept, pa.int64()))
+
+    def follow(table):
+        import numpy as np
+        import pyarrow as pa
+
+        table = table.sort_by("t")
+        t = table.column("t").to_numpy()
+        sent, i = [], int(np.searchsorted(t, table.column("first")[0].as_py()))
+        while i < len(t):
+            sent.append(i)
+            i = int(np.searchsorted(t, t[i] + cooldown))
+        return table.select(["k", "t"]).take(pa.array(sent, pa.int64()))
+
+    named = lambda *cs: ", ".join(f"{c} {kinds[c]}" for c in cs)
+    spans = times.groupBy("k", "b").applyInArrow(ends, named("k", "b", "t") + f", end {kinds['t']}")
+    firsts = spans.repartition("k").sortWithinPartitions("k", "b", "t").mapInArrow(chain, named("k", "b", "t"))
+    within = times.join(firsts.withColumnRenamed("t", "first"), ["k", "b"]).groupBy("k", "b").applyInArrow(follow, named("k", "t"))
+    sent = rows.join(within.select(F.col("k").alias(key), F.col("t").alias(seconds)), [key, seconds], "left_semi")
+    nth = F.row_number().over(Window.partitionBy(key, seconds).orderBy(order))
+    return sent.withColumn("__nth", nth).where(F.col("__nth") == 1).select(*[F.col(f"`{c}`") for c in alerts.columns])

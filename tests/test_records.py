@@ -118,3 +118,21 @@ def test_alert_state_ends(spark, tmp_path):
     assert send("b", [1200, 1300, 1500]) == [1000, 1300]  # state lives on across batches
     assert send("c", [90000, 90100]) == [1000, 1300, 90000]
     assert send("d", [90200, 90300]) == [1000, 1300, 90000, 90300]
+
+
+def test_cooldown_of_a_key_without_gaps(spark, monkeypatch):
+    """Alerts that never pause for a cooldown, over many spans, equal a plain fold."""
+    monkeypatch.setattr(steps, "LONGEST_SPAN", 500)
+    rng = random.Random(5)
+    rows = [("hot", rng.randrange(-4000, 9000), i, "x") for i in range(2500)] + [("rare", rng.randrange(10**6), i, None) for i in range(40)]
+    rows += [(k, s, i, "again") for k, s, i, _ in rows[:50]] + [(None, 1, 1, "x"), ("hot", None, 1, "x"), ("edge", 0, 1, "x"), ("edge", 100, 2, "x"), ("edge", 199, 3, "x")]
+    df = spark.createDataFrame(rows, "k string, t long, __nth int, b string")
+    want, last = set(), {}
+    for k, s, i in sorted((k, s, i) for k, s, i, _ in rows if k and s is not None):
+        if k not in last or s - last[k] >= 100:
+            last[k] = s
+            want.add((k, s, i))
+    got = [(r.k, r.t) for r in steps.cooled(df.withColumnRenamed("__nth", "n"), "k", "t", "n", 100).collect()]
+    assert sorted(got) == sorted((k, s) for k, s, _ in want)
+    short = {(r.k, r.t, r.n) for r in steps.cooled(df.withColumnRenamed("__nth", "n"), "k", "t", "n", 100).collect()}
+    assert short == want
