@@ -138,6 +138,42 @@ def centroids(df: DataFrame, label: str, embedding: str) -> DataFrame:
     return df.select(label, F.posexplode(embedding).alias("pos", "x")).groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("value"))
 
 
+def nearest_topic(df: DataFrame, key: str, embedding: str, means: DataFrame, most: int = 10_000) -> DataFrame:
+    """``(key, topic, similarity)``: the topic whose mean vector has the greatest cosine, the smaller topic of equal ones.
+
+    ``means`` is ``(label, pos, value)`` of ``centroids``; above ``most`` topics it is refused, because the means go
+    to every task.  Vectors that are null, zero or of another length than the means have no topic.
+    """
+    import numpy as np
+
+    rows = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("mean")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} topics")
+    out = f"{key} {df.schema[key].dataType.simpleString()}, topic {means.schema['label'].dataType.simpleString()}, similarity double"
+    rows = sorted((r for r in rows if r["label"] is not None and any(r["mean"])), key=lambda r: r["label"])
+    if not rows:
+        return df.sparkSession.createDataFrame([], out)
+    labels, centres = [r["label"] for r in rows], np.array([r["mean"] for r in rows])
+    centres /= np.sqrt((centres * centres).sum(1))[:, None]
+
+    def assign(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                x = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
+                cos = x @ centres.T / np.sqrt((x * x).sum(1))[:, None]
+                best = np.round(cos, 9).argmax(1)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([labels[i] for i in best]).cast(pa.int32() if isinstance(labels[0], int) else pa.string()), pa.array(cos[np.arange(len(x)), best])],
+                    names=[key, "topic", "similarity"],
+                )
+
+    good = df.where((vector.check(F.col(embedding), centres.shape[1]) == "ok"))
+    return good.select(key, embedding).mapInArrow(assign, out)
+
+
 def topic_terms(df: DataFrame, topic: str, key: str, text: str, k: int, scratch: Scratch, least: int = 4) -> DataFrame:
     """``(topic, term, score)``: the ``k`` terms of greatest TF-IDF of each topic.
 

@@ -280,6 +280,26 @@ def carried(df: DataFrame, key: str, bucket: Column, order: list[str], value: st
     return out_rows.withColumn(out, F.coalesce("__inside", "__before")).drop("__bucket", "__inside", "__before")
 
 
+def increase(samples: DataFrame, key: str, us: str, order: str, value: str, window: int = 300) -> DataFrame:
+    """``(key, start_us, increase)``: how much a counter grows in each window of ``window`` seconds.
+
+    A sample below the one before means that the counter began anew, so it counts
+    whole; the first sample of a key counts nothing.  Equal times go by ``order``.
+    Rows are sorted within (key, window) only; the last sample of the window
+    before comes from one row per window.  Null keys, times and values are no samples.
+    """
+    size = window * 1000000
+    rows = samples.where(F.col(key).isNotNull() & F.col(us).isNotNull() & F.col(value).isNotNull())
+    rows = rows.select(key, F.col(us).alias("__us"), F.col(order).alias("__order"), F.col(value).alias("__value")).withColumn("start_us", F.floor(F.col("__us") / size) * size)
+    ends = rows.groupBy(key, "start_us").agg(F.max_by("__value", F.struct("__us", "__order")).alias("__end"))
+    before = ends.select(key, "start_us", F.lag("__end").over(Window.partitionBy(key).orderBy("start_us")).alias("__before"))
+    inside = F.lag("__value").over(Window.partitionBy(key, "start_us").orderBy("__us", "__order"))
+    last = F.coalesce("__inside", "__before")
+    grown = F.when(last.isNull(), 0.0).when(F.col("__value") >= last, F.col("__value") - last).otherwise(F.col("__value"))
+    joined = rows.withColumn("__inside", inside).join(before, [key, "start_us"])
+    return joined.groupBy(key, "start_us").agg(F.round(F.sum(grown), 4).alias("increase"))
+
+
 def as_of(events: DataFrame, changes: DataFrame, key: str, ts: str, bucket: int = 30 * 86400 * 1000000) -> DataFrame:
     """Each event with the last change of its key at or before it: ``(key, event columns, change)``.
 

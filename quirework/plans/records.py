@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.functions import text
-from quirework.operators import rules, steps, timestamps
+from quirework.operators import references, rules, search, steps, timestamps
+from quirework.plans import reference, retrieval
 from quirework.plans.reference import CLEAN, FACTS, T
 
 QUERIES: dict = {}
@@ -123,3 +124,50 @@ def batch_progress(spark: SparkSession, base: str) -> DataFrame:
     rows = steps.facts(T(spark, base, "processing_steps")).where("source is not null and ts is not null")
     us = F.round(F.col("duration_ms") * 1000).cast("long")
     return steps.progress(rows.select("source", "status", F.date_trunc("day", "ts").alias("batch"), us.alias("us")), "source", "batch", "us")
+
+
+@query("""WITH s AS (SELECT event_type, epoch_us(ts) AS us, event_id, value FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL),
+ d AS (SELECT event_type, us // 3600000000 * 3600000000 AS start_us, value, lag(value) OVER (PARTITION BY event_type ORDER BY us, event_id) AS last FROM s)
+ SELECT event_type, start_us, round(sum(CASE WHEN last IS NULL THEN 0 WHEN value >= last THEN value - last ELSE value END), 4) AS increase FROM d GROUP BY 1, 2""")
+def counter_increase(spark: SparkSession, base: str) -> DataFrame:
+    """Hourly increase of the values of each type of event read as a counter that may begin anew."""
+    rows = T(spark, base, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return steps.increase(rows, "event_type", "us", "event_id", "value", 3600)
+
+
+@query(f"""WITH c AS (SELECT label, list(v ORDER BY pos) AS mean FROM (SELECT label, pos, avg(x) AS v FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2) GROUP BY label),
+ s AS (SELECT record_id, label, round({retrieval._COS.format('i.embedding', 'c.mean')}, 9) AS cos FROM index_documents i, c WHERE {retrieval._OK.format('i.embedding')})
+ SELECT record_id, label AS topic, round(cos, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY cos DESC, label) = 1""")
+def nearest_topic(spark: SparkSession, base: str) -> DataFrame:
+    """The topic of each indexed record by the means of the labelled vectors."""
+    means = search.centroids(T(spark, base, "embeddings"), "label", "embedding")
+    out = search.nearest_topic(T(spark, base, "index_documents"), "record_id", "embedding", means)
+    return out.withColumn("similarity", F.round(F.round("similarity", 9), 6))
+
+
+@query(f"""WITH {reference._EDGES} SELECT parent, child, '{{"type":"child"' || CASE WHEN told_by <> 'both' THEN ',"told_by":"' || told_by || '"' ELSE '' END || '}}' AS metadata_json FROM edges""")
+def edge_metadata_json(spark: SparkSession, base: str) -> DataFrame:
+    """Links with their metadata as JSON, fields that are null left out."""
+    edges = references.lineage_edges(T(spark, base, "lineage"))
+    told = F.when(F.col("told_by") != "both", F.col("told_by")).alias("told_by")
+    return edges.select("parent", "child", F.to_json(F.struct(F.lit("child").alias("type"), told)).alias("metadata_json"))
+
+
+@query("""SELECT step_name, status, count(*) AS calls, count(*) FILTER (duration_ms <= 10) AS le_10, count(*) FILTER (duration_ms <= 100) AS le_100, count(*) FILTER (duration_ms <= 1000) AS le_1000,
+ count(duration_ms) AS le_inf, round(sum(duration_ms), 3) AS total_ms FROM processing_steps GROUP BY 1, 2""")
+def duration_buckets(spark: SparkSession, base: str) -> DataFrame:
+    """Calls and durations of each kind of step and outcome in cumulative buckets."""
+    ms = F.col("duration_ms")
+    buckets = [F.count_if(ms <= n).alias(f"le_{n}") for n in (10, 100, 1000)]
+    total = F.round(F.sum(ms), 3).alias("total_ms")
+    return T(spark, base, "processing_steps").groupBy("step_name", "status").agg(F.count("*").alias("calls"), *buckets, F.count(ms).alias("le_inf"), total)
+
+
+@query(f"""WITH l AS ({retrieval.SQL['topic_labels']}), c AS ({reference.SQL['chunk_words']}), t AS (SELECT source, string_agg(term, ',' ORDER BY score DESC, term) AS topics FROM l GROUP BY source)
+ SELECT c.doc_id, c.pos, c.chunk_hash, t.topics FROM c JOIN documents d USING (doc_id) LEFT JOIN t ON t.source = d.source""")
+def enriched_chunks(spark: SparkSession, base: str) -> DataFrame:
+    """Chunks of words with the topic labels of their source, joined by id."""
+    terms = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "term"))), lambda x: x["term"])
+    labels = retrieval.topic_labels(spark, base).groupBy("source").agg(F.array_join(terms, ",").alias("topics"))
+    sources = T(spark, base, "documents").select("doc_id", "source").join(labels, "source", "left").select("doc_id", "topics")
+    return reference.chunk_words(spark, base).join(sources, "doc_id")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirework.operators import rules, steps
+from quirework.operators import rules, search, steps
 from quirework.session import Scratch
 from quirework.sources import files
 from quirework.streaming import streams
@@ -136,3 +136,21 @@ def test_cooldown_of_a_key_without_gaps(spark, monkeypatch):
     assert sorted(got) == sorted((k, s) for k, s, _ in want)
     short = {(r.k, r.t, r.n) for r in steps.cooled(df.withColumnRenamed("__nth", "n"), "k", "t", "n", 100).collect()}
     assert short == want
+
+
+def test_counter_increase(spark):
+    rows = [("a", 1, 1, 5.0), ("a", 2, 1, 9.0), ("a", 12, 1, 10.0), ("a", 12, 2, 3.0), ("a", 41, 1, 4.5), ("b", 5, 1, 7.0), (None, 1, 1, 1.0), ("a", None, 1, 1.0), ("a", 13, 1, None)]
+    df = spark.createDataFrame(rows, "k string, s long, n int, v double").withColumn("us", F.col("s") * 1000000)
+    got = {(r.k, r.start_us // 1000000): r.increase for r in steps.increase(df, "k", "us", "n", "v", 10).collect()}
+    assert got == {("a", 0): 4.0, ("a", 10): 4.0, ("a", 40): 1.5, ("b", 0): 0.0}
+    assert steps.increase(df.limit(0), "k", "us", "n", "v", 10).count() == 0
+
+
+def test_nearest_topic(spark):
+    made = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.2]), (2, [0.0, 1.0]), (3, [0.0, 2.0]), (None, [5.0, 5.0])], "label int, e array<double>")
+    df = spark.createDataFrame([("a", [2.0, 0.1]), ("b", [0.0, 1.0]), ("c", None), ("d", [0.0, 0.0]), ("e", [1.0]), ("f", [1.0, float("nan")])], "id string, e array<double>")
+    means = search.centroids(made, "label", "e")
+    assert {(r.id, r.topic) for r in search.nearest_topic(df, "id", "e", means).collect()} == {("a", 1), ("b", 2)}
+    assert search.nearest_topic(df, "id", "e", search.centroids(made.limit(0), "label", "e")).count() == 0
+    with pytest.raises(ValueError):
+        search.nearest_topic(df, "id", "e", means, most=1)
