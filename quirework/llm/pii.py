@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 TYPES = ("email", "address", "phone", "id_number", "name")
 PLACEHOLDERS = {t: f"[{t.upper()}]" for t in TYPES}
 THRESHOLD = 0.5
+MOST_NAMES = 20_000  # of the name list
 MIN_PARTNERS = 3
 CONTEXT = 42
 
@@ -285,9 +286,15 @@ _BRACKETED = re.compile(r"[A-Za-z0-9][\w.+*-]* ?[(\[{] ?(?:at|AT) ?[)\]}] ?[A-Za
 _SPELLED = re.compile(r"[\w+-]+(?: (?:dot|DOT) [\w+-]+)* (?:at|AT) [\w-]+(?: (?:dot|DOT) [\w-]+)+(?![\w-])(?! (?:at|AT|dot|DOT) )")
 
 
-def listed(names: DataFrame) -> list[tuple[str, str]]:
-    """The name list, reference data of a few hundred rows, without duplicates."""
-    return [(r["kind"], r["name"]) for r in names.select("kind", "name").distinct().collect()]
+def listed(names: DataFrame, most: int = MOST_NAMES) -> list[tuple[str, str]]:
+    """The name list, reference data of a few hundred rows, without duplicates.
+
+    It becomes one pattern in every task, so a list of more than ``most`` names is refused rather than cut.
+    """
+    found = [(r["kind"], r["name"]) for r in names.select("kind", "name").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} names")
+    return found
 
 
 def spans(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:

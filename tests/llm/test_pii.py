@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -87,3 +88,11 @@ def test_ordinary_words_by_what_people_do():
         assert ("name", "Stone") in found(text), text
     for text in ("Stone islands are rare", "The Stone curve rises", "Stone reports are due", "a Stone wall", "Stone is grey", "Will anyone come?", "Latitude 123456789", "checksum 123456789", "receipt 123-456-789"):
         assert found(text) == [], text
+
+
+def test_name_list_is_bounded(spark):
+    names = spark.createDataFrame([("given", "Ada"), ("given", "Ada"), ("family", None)], "kind string, name string")
+    assert sorted(pii.listed(names, 2), key=str) == [("family", None), ("given", "Ada")]
+    with pytest.raises(ValueError):
+        pii.listed(names, 1)
+    assert pii.listed(names.limit(0)) == []
